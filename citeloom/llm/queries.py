@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import cooccurrence, format_duplicates, leakage, pii, splitting, survivorship
+from citeloom.llm import cooccurrence, format_duplicates, leakage, packing, pii, splitting, survivorship
 from citeloom.session import table
 
 
@@ -45,6 +45,14 @@ def p6_associations(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(table(spark, folder, "documents"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     hits = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return hits.select("doc_id", "item_id")
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p5_records,
         p6_found,
         p6_associations,
+        p7_containers,
+        p7_fill,
         p8_found,
         p9_found,
         p9_redacted,
