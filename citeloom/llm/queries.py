@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import cooccurrence, format_duplicates, leakage, packing, pii, splitting, survivorship
+from citeloom.llm import cooccurrence, format_duplicates, leakage, name_variants, packing, pii, splitting, survivorship
 from citeloom.session import table
 
 
@@ -28,6 +28,18 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "sections"), "section_id", "content")
 
 
+def _name_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return name_variants.clusters(*(table(spark, folder, t) for t in ("author_names", "papers", "bib")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return name_variants.same(_name_clusters(spark, folder))
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _name_clusters(spark, folder)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates.copies(table(spark, folder, "bib"))
 
@@ -73,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p2_records,
         p3_found,
         p3_pieces,
+        p4_found,
+        p4_clusters,
         p5_found,
         p5_records,
         p6_found,
