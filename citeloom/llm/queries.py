@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import cooccurrence, format_duplicates, leakage, name_variants, packing, pii, splitting, survivorship
+from citeloom.llm import cooccurrence, entity_matching, format_duplicates, leakage, name_variants, packing, pii, splitting, survivorship
 from citeloom.session import table
 
 
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_matching.matches(table(spark, folder, "bib"), table(spark, folder, "dblp"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_matches(spark, folder).select("entry_id", "hit_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivorship.survivors(table(spark, folder, "bib_versions")).select("dup_group", "field_name", "version_id")
 
@@ -81,6 +89,8 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        p1_found,
+        p1_matches,
         p2_found,
         p2_records,
         p3_found,
