@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.skew import HOT_SHARE, SALTS, hot_first_join, hot_threshold
+from citeloom.operators.skew import HOT_SHARE, SALTS, hot_first_join, hot_threshold
 from citeloom.session import materialise
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
