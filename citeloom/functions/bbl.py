@@ -32,9 +32,23 @@ def item_key(item: Column | str) -> Column:
     return F.regexp_extract(lit_or_col(item), ITEM_HEAD, 1)
 
 
+def _nested(depth: int) -> str:
+    """Text with balanced braces up to ``depth`` levels; possessive, so it never backtracks."""
+    inner = r"[^{}]*+"
+    for _ in range(depth):
+        inner = r"[^{}]*+(?:\{" + inner + r"\}[^{}]*+)*+"
+    return inner
+
+
+SHALLOW = "^(" + _nested(4) + r")\}"
+
+
 def braced_argument(text: Column) -> Column:
-    """The text up to the brace that closes the one ``text`` starts with (code points, so any script is safe)."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    """The text up to the brace that closes the one ``text`` starts behind (code points, so any script is safe).
+
+    NULL if it never closes. Up to four levels of braces are matched by one regular expression; deeper or unbalanced text is walked.
+    """
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"), F.lit(False).alias("done"))
 
     def step(acc: Column, ch: Column) -> Column:
         depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
@@ -45,15 +59,14 @@ def braced_argument(text: Column) -> Column:
             done.alias("done"),
         )
 
-    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["out"])
+    walked = F.aggregate(F.split(text, ""), start, step, lambda acc: F.when(acc["done"], acc["out"]))
+    return F.when(text.rlike(SHALLOW), F.regexp_extract(text, SHALLOW, 1)).otherwise(walked)
 
 
 def tagged_author(item: Column) -> Column:
     """Persons of ``\\bibfield{author}{...}``, joined by ``, ``; NULL if there are none."""
-    tail = F.substring_index(item, AUTHOR_FIELD, -1)
-    first = F.substring(item, F.locate(AUTHOR_FIELD, item) + len(AUTHOR_FIELD), 1_000_000_000)
-    argument = F.when(F.locate(AUTHOR_FIELD, item) > 0, braced_argument(first)).otherwise(tail)
-    return nonempty(F.array_join(F.regexp_extract_all(argument, F.lit(PERSON), F.lit(1)), ", "))
+    behind = F.try_element_at(F.split(item, r"\\bibfield\{author\}\{", 2), F.lit(2))
+    return nonempty(F.array_join(F.regexp_extract_all(braced_argument(behind), F.lit(PERSON), F.lit(1)), ", "))
 
 
 def plain_author(item: Column) -> Column:

@@ -59,7 +59,7 @@ def clean_title(x: Column | str) -> Column:
 
 
 def nonempty(x: Column) -> Column:
-    return F.when(x != "", x)
+    return F.nullif(x, F.lit(""))
 
 
 def before(x: Column, mark: str) -> Column:
@@ -75,13 +75,11 @@ def normalize_citation_key(author: Column | str, title: Column | str, year: Colu
     author, title, year = map(lit_or_col, (author, title, year))
     first = F.when(author.contains(","), before(author, ",")).otherwise(before(author, " and "))
     last = F.element_at(F.split(clean_text(trim_ws(before(first, "et al"))), "_"), -1)
-    words = F.filter(
-        F.split(clean_text(title), "_"), lambda w: F.octet_length(w) > SIGNIFICANT_BYTES
-    )
-    words = F.when(title.isNull(), F.array().cast("array<string>")).otherwise(F.slice(words, 1, SIGNIFICANT_WORDS))
-    years = F.when(year.isNotNull() & (clean_text(year) != ""), F.array(clean_text(year))).otherwise(
-        F.array().cast("array<string>")
+    # A missing title cleans to "", which has no significant word.
+    words = F.slice(
+        F.filter(F.split(clean_text(title), "_"), lambda w: F.octet_length(w) > SIGNIFICANT_BYTES), 1, SIGNIFICANT_WORDS
     )
+    years = F.filter(F.array(clean_text(year)), lambda y: y != "")
     head = F.when(author.isNull(), F.lit("unknown")).otherwise(last)
     return F.array_join(F.concat(F.array(head), words, years), "_")
 

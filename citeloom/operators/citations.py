@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import CITE_COMMANDS, EXTENDED_CITE_COMMANDS, cite_pattern, split_keys
 from citeloom.operators.bibliography import normalized_key
 from citeloom.operators.skew import hot_first_join
+from citeloom.session import materialise
 
 
 def key_map(bib: DataFrame) -> DataFrame:
@@ -33,6 +34,7 @@ def rewrite(sections: DataFrame, keys: DataFrame, row_id: str, extended_cites: b
         sections.select(F.col(row_id).alias("_row"), F.posexplode(_commands(F.col("content"), extended_cites)).alias("_at", "c"))
         .select("_row", "_at", F.col("c.old").alias("_old"), F.posexplode(split_keys(F.col("c.inner"))).alias("_k", "key"))
     )
+    uses = materialise(uses, "citations")  # read three times below; far smaller than the texts
     per_key = uses.groupBy("key").agg(F.count("*").alias("_n"))
     known = keys.select("key", "new").join(per_key, "key")
     mapped = hot_first_join(uses, known, "key", "_n", uses.count(), "left").select(

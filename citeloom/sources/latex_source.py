@@ -72,17 +72,18 @@ def expand_includes(files: DataFrame) -> DataFrame:
     References are resolved among the paper's own files only. All files of a paper meet in one task; a paper is
     bounded by its archive.
     """
-    roots = main_files(files).withColumnRenamed("path", "root")
-    tex = files.filter(F.col("content").isNotNull()).select("ord", "paper_id", "path", "content")
-    both = tex.join(roots, ["ord", "paper_id"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(pdf["path"], pdf["content"]))
-        return pd.DataFrame(
-            {"ord": pdf["ord"].iloc[:1], "paper_id": pdf["paper_id"].iloc[:1], "latex": [expand(texts, pdf["root"].iloc[0])]}
-        )
-
-    return both.groupBy("ord", "paper_id").applyInPandas(run, "ord int, paper_id string, latex string")
+    tex = files.filter(F.col("content").isNotNull())
+    rows = tex.groupBy("ord", "paper_id").agg(F.collect_list(F.struct("path", "content")).alias("files"))
+    rows = rows.join(main_files(files).withColumnRenamed("path", "root"), ["ord", "paper_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            latex = [
+                expand({f["path"]: f["content"] for f in found}, root) for found, root in zip(pdf["files"], pdf["root"])
+            ]
+            yield pd.DataFrame({"ord": pdf["ord"], "paper_id": pdf["paper_id"], "latex": latex})
+
+    return rows.mapInPandas(run, "ord int, paper_id string, latex string")
 
 
 def bbl_files(files: DataFrame) -> DataFrame:

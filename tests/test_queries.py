@@ -42,7 +42,7 @@ def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["normalize_citations", "bib_consolidate", "dblp_best_match"])
+@pytest.mark.parametrize("name", ["normalize_citations", "bib_consolidate", "dblp_best_match", "parse_bbl_files"])
 def test_plans(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan

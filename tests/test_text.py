@@ -158,3 +158,10 @@ def test_plain_expressions_only(spark):
     plan = df.select(bibliography.normalized_key(), bibliography.arxiv_id())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert F is not None
+
+
+def test_braced_arguments(spark):
+    texts = ["a{b}c}d", "}", "a{b{c{d{e{f{g}}}}}}h}i", "never{closes}", "é\\{x}", None]
+    assert column(spark, texts, bbl.braced_argument(F.col("x"))) == ["a{b}c", "", "a{b{c{d{e{f{g}}}}}}h", None, None, None]
+    tagged = ["\\bibfield{author} {\\bibinfo{person}{A}}", "\\bibfield{author}{\\bibinfo{person}{A} \\bibinfo{person}{B}}"]
+    assert column(spark, tagged, bbl.item_author("x")) == [None, "A, B"]
