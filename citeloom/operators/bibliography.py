@@ -49,6 +49,25 @@ def consolidate(bib: DataFrame, scope: str = "global", tie: str | None = None) -
     return out.select("ord", "file_ord", "pos", "key", "entry_type", "fields", *([tie] if tie else []))
 
 
+def set_field(fields: Column | str, name: str, value: Column) -> Column:
+    """The map with one field set; a NULL value leaves it as it was, a NULL map becomes one of that field."""
+    f = F.coalesce(lit_or_col(fields), F.create_map().cast("map<string,string>"))
+    rest = F.map_filter(f, lambda k, _: k != name)
+    return F.when(value.isNull(), lit_or_col(fields)).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+
+
+def promoted(bib: DataFrame, names: tuple[str, ...] = ("author", "title", "year", "raw")) -> DataFrame:
+    """Hot fields as columns of their own, so that a scan of the written table reads only what a query names."""
+    f = F.col("fields")
+    rest = F.map_filter(f, lambda k, _: ~k.isin(*names))
+    return bib.withColumns({n: f[n] for n in names} | {"other_fields": rest}).drop("fields")
+
+
+def get(bib: DataFrame, key: str) -> DataFrame:
+    """The entries of a key."""
+    return bib.filter(F.col("key") == key)
+
+
 def normalized_key(fields: Column | str = "fields") -> Column:
     f = lit_or_col(fields)
     return normalize_citation_key(f["author"], f["title"], f["year"])

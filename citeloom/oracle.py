@@ -194,6 +194,12 @@ FROM bib b JOIN ({_ITEMS}) i USING (entry_id)
     "bib_consolidate_paper": """
 SELECT ord, key, entry_id FROM bib
 QUALIFY row_number() OVER (PARTITION BY ord, key ORDER BY file_ord DESC, pos DESC, entry_id DESC) = 1
+""",
+    "bib_promoted": f"""
+SELECT entry_id, key, {AUTHOR} AS author, {TITLE} AS title,
+  CASE WHEN {YEAR} IS NULL THEN NULL ELSE regexp_extract({YEAR}, '\\d{{4}}') END AS year,
+  array_to_string(list_sort(list_filter(map_keys(fields), lambda k: k NOT IN ('author', 'title', 'year', 'raw'))), '|') AS others
+FROM bib
 """,
     "cite_keys_sections": f"SELECT section_id, array_to_string({keys_of('content')}, '|') AS keys FROM sections",
     "related_sections": _SECTIONS,

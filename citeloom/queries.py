@@ -78,6 +78,13 @@ def bib_consolidate_paper(spark: SparkSession, folder: str) -> DataFrame:
     return bibliography.consolidate(table(spark, folder, "bib"), "paper", TIE).select("ord", "key", "entry_id")
 
 
+def bib_promoted(spark: SparkSession, folder: str) -> DataFrame:
+    tagged = bibliography.set_field("fields", "year", F.regexp_extract(F.col("fields")["year"], r"\d{4}", 0))
+    wide = bibliography.promoted(table(spark, folder, "bib").select("entry_id", "key", tagged.alias("fields")))
+    others = F.array_sort(F.map_keys("other_fields"))
+    return wide.select("entry_id", "key", "author", "title", "year", _joined(others).alias("others"))
+
+
 def cite_keys_sections(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "sections")
     return s.select("section_id", _joined(cite_keys("content")).alias("keys"))
@@ -244,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         parse_bbl_files,
         bib_consolidate,
         bib_consolidate_paper,
+        bib_promoted,
         cite_keys_sections,
         related_sections,
         related_titles,

@@ -165,3 +165,11 @@ def test_braced_arguments(spark):
     assert column(spark, texts, bbl.braced_argument(F.col("x"))) == ["a{b}c", "", "a{b{c{d{e{f{g}}}}}}h", None, None, None]
     tagged = ["\\bibfield{author} {\\bibinfo{person}{A}}", "\\bibfield{author}{\\bibinfo{person}{A} \\bibinfo{person}{B}}"]
     assert column(spark, tagged, bbl.item_author("x")) == [None, "A, B"]
+
+
+def test_fields(spark):
+    df = spark.createDataFrame([("k", {"a": "1"}, "2"), ("k", None, "2"), ("m", {"a": "1"}, None)], "key string, fields map<string,string>, v string")
+    got = [r[0] for r in df.select(bibliography.set_field("fields", "a", F.col("v"))).collect()]
+    assert got == [{"a": "2"}, {"a": "2"}, {"a": "1"}]
+    assert bibliography.get(df, "k").count() == 2
+    assert bibliography.promoted(df, ("a",)).columns == ["key", "v", "a", "other_fields"]
