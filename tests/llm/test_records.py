@@ -349,3 +349,11 @@ def test_title_features_and_fit():
     y = (x[:, 0] > 0).astype(float)
     w = entity_matching.fit(x, y)
     assert w[0] > 2 and abs(w[1]) < 1
+
+
+def test_crowded_titles_need_author_and_year(spark, monkeypatch):
+    monkeypatch.setattr(entity_matching, "CROWDED", 3)
+    rows = [(i, "k", "article", {"title": "Editorial", "author": f"Ann {f.title()}", "year": str(2000 + i)}) for i, f in enumerate(FAMILIES)]
+    hits = [(i, info("Editorial.", str(2000 + i), [f"Ann {f.title()}"])) for i, f in enumerate(FAMILIES)]
+    got = entity_matching.matches(bib(spark, rows), spark.createDataFrame([(i, h, "c", "c") for i, h in hits], DBLP))
+    assert {(r["entry_id"], r["hit_id"]) for r in got.collect()} == {(i, i) for i in range(len(FAMILIES))}
