@@ -43,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    set_already = sc._jsc.sc().getCheckpointDir()
+    if set_already.isDefined():
+        return set_already.get()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = f"{tempfile.gettempdir()}/citeloom-{os.getpid()}"
