@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.arrow import map_with_ids
+
 PASSAGE = 20
 APART = 10
 SEED = 9
@@ -103,7 +105,7 @@ def leaked(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, apart
     """(doc_id, item_id, words): documents holding at least ``passage`` consecutive words of an item.
 
     ``words`` is the length of the longest such passage. NULL and empty texts hold nothing; repeated document rows
-    are reported once. The items are read in blocks of ``BLOCK_ITEMS``, each one pass over the documents.
+    are reported once, and so are those of a NULL ``doc_id``. The items are read in blocks of ``BLOCK_ITEMS``, each one pass over the documents.
     """
     seed = min(SEED, passage // 2 - 1, apart - 1)
     listed = items.select("item_id", "item_text").filter("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
@@ -115,7 +117,7 @@ def leaked(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, apart
     out = None
     for b in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["item_text"]) for r in part.toLocalIterator()])
+        shared = spark.sparkContext.broadcast([(str(r["item_id"]), r["item_text"]) for r in part.toLocalIterator()])
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             tables = WuManber(shared.value, passage, apart, seed)
@@ -125,6 +127,6 @@ def leaked(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, apart
                 ]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])
 
-        found = texts.mapInPandas(search, f"doc_id {kind}, item_id {ikind}, words int")
+        found = map_with_ids(texts, {"doc_id": kind, "item_id": ikind}, ("text",), search, "words int")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.arrow import map_with_ids
 from citeloom.session import materialise
 
 CAPACITY = 2048
@@ -62,8 +63,8 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
                     seen[size] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "tokens", "part", "seq"])
 
-    schema = f"doc_id {kind}, piece int, start int, tokens int, part int, seq long"
-    return documents.select("doc_id", "text").mapInPandas(count, schema)
+    schema = "piece int, start int, tokens int, part int, seq long"
+    return map_with_ids(documents, {"doc_id": kind}, ("text",), count, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, Pattern]]:
@@ -142,7 +143,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     """doc_id, piece, start, tokens, container: where each text goes; only texts over ``capacity`` are split.
 
     Containers are numbered from 0. Texts without tokens (NULL and empty ones) lie in container 0; an empty table
-    gives no rows. Equal texts are separate items.
+    gives no rows. Equal texts are separate items, and so are rows of a NULL or repeated ``doc_id``.
     """
     items = materialise(token_pieces(documents, capacity, tokenizer), "p7-pieces")
     per_part = items.groupBy("tokens", "part").agg(F.count("*").alias("n"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.arrow import map_with_ids
+
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address", "name"
 _AT, _DIGITS, _LABEL, _STREET, _CUE = 1, 2, 4, 8, 16
 
@@ -253,7 +255,8 @@ def found(documents: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_text"])
 
-    return _texts(documents).mapInPandas(search, f"doc_id {kind}, pii_type string, pii_text string").distinct()
+    schema = "pii_type string, pii_text string"
+    return map_with_ids(_texts(documents), {"doc_id": kind}, ("text",), search, schema).distinct()
 
 
 def redact_text(finder: Finder, text: str) -> str:
@@ -277,4 +280,4 @@ def redacted(documents: DataFrame) -> DataFrame:
                 rows.append((d, redact_text(finder, t) if spans else t, len(spans)))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "n_replaced"])
 
-    return documents.select("doc_id", "text").mapInPandas(replace, f"doc_id {kind}, text string, n_replaced int")
+    return map_with_ids(documents, {"doc_id": kind}, ("text",), replace, "text string, n_replaced int")

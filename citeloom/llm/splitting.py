@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.arrow import map_with_ids
+
 LIMIT = 4000
 OVERLAP = 200
 #: Boundary strengths, weakest first.
@@ -127,7 +129,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overla
     """The pieces of every row: id, ``piece``, ``n_pieces``, ``start``, ``size``, ``boundary``, ``cut``, ``text``.
 
     ``cut`` is ``forced`` where the text has more than ``limit`` characters in a row without white space, else
-    ``clean``. NULL texts give no piece, empty ones one empty piece. Only texts over the limit go to Python.
+    ``clean``. NULL texts give no piece, empty ones one empty piece, NULL ids stay NULL. Only texts over the limit go to Python.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     small = rows.filter(F.char_length("_text") <= limit).select(
@@ -156,5 +158,6 @@ def pieces(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overla
             yield pd.DataFrame(out, columns=names)
 
     kind = large.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, piece int, n_pieces int, start int, size int, boundary string, cut string, text string"
-    return small.unionByName(large.mapInPandas(cut, schema)).withColumnRenamed("_id", id_col)
+    schema = "piece int, n_pieces int, start int, size int, boundary string, cut string, text string"
+    found = map_with_ids(large, {"_id": kind}, ("_text",), cut, schema)
+    return small.unionByName(found).withColumnRenamed("_id", id_col)

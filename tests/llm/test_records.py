@@ -61,7 +61,7 @@ def duplicate_rows():
 def test_format_duplicates(spark, monkeypatch, hot):
     monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rows = duplicate_rows()
-    df = bib(spark, rows).repartition(5)
+    df = bib(spark, [*rows, (None, "k", "article", {"title": "Deep Nets"})]).repartition(5)
     assert {tuple(r) for r in format_duplicates.copies(df).collect()} == brute_copies(rows)
     records = {r["entry_id"]: r["copies"] for r in format_duplicates.collapse(df).collect()}
     assert sum(records.values()) == len(rows)
@@ -188,7 +188,7 @@ def version_rows(n=200):
 
 def test_survivors(spark):
     rows = version_rows()
-    got = survivorship.survivors(versions(spark, rows + rows[:5]))
+    got = survivorship.survivors(versions(spark, [*rows, *rows[:5], (None, 1, "arXiv", T0, "good2020key", "article", {})]))
     assert {tuple(r)[:3] for r in got.collect()} == brute_survivors(rows, spark)
     assert survivorship.survivors(versions(spark, [])).count() == 0
 

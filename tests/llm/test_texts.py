@@ -53,12 +53,12 @@ def test_split_prefers_strong_boundaries():
 
 
 def test_pieces(spark):
-    rows = [(1, "a" * 30), (2, "word " * 20), (3, ""), (4, None), (5, "short"), (5, "short")]
+    rows = [(1, "a" * 30), (2, "word " * 20), (3, ""), (4, None), (5, "short"), (5, "short"), (None, "b" * 30), (1 << 60, "word " * 20)]
     got = splitting.pieces(documents(spark, rows), "doc_id", "text", 25, 5).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["piece"]):
         by.setdefault(r["doc_id"], []).append(r)
-    assert {k: v[0]["cut"] for k, v in by.items()} == {1: "forced", 2: "clean", 3: "clean", 5: "clean"}
+    assert {k: v[0]["cut"] for k, v in by.items()} == {1: "forced", 2: "clean", 3: "clean", 5: "clean", None: "forced", 1 << 60: "clean"}
     assert [r["text"] for r in by[3]] == [""] and len(by[5]) == 2
     assert all(r["text"] == (dict(rows)[r["doc_id"]])[r["start"] : r["start"] + r["size"]] for r in got)
     assert splitting.pieces(documents(spark, []), "doc_id", "text").count() == 0
@@ -92,7 +92,7 @@ def test_plan_fills_well():
 @pytest.mark.skipif(not Path(packing.TOKENIZER).exists(), reason="no tokenizer file")
 def test_containers(spark):
     r = random.Random(4)
-    rows = [(i, " ".join("token" for _ in range(r.randint(0, 90)))) for i in range(200)] + [(900, "long word " * 150), (901, None), (902, ""), (7, "twice")]
+    rows = [(i, " ".join("token" for _ in range(r.randint(0, 90)))) for i in range(200)] + [(900, "long word " * 150), (901, None), (902, ""), (7, "twice"), (None, "no id")]
     got = packing.containers(documents(spark, rows).repartition(5), capacity=64).collect()
     encode = packing.encoder(Path(packing.TOKENIZER).read_bytes()).encode
     size, load = Counter(), Counter()
@@ -166,10 +166,10 @@ def test_leaked(spark):
     w = item.split()
     lines = "\n".join("+ # " + " ".join(w[i : i + 4]).upper() for i in range(0, len(w), 4))
     hunk = "\n".join(["-// " + " ".join(w[:9]) + ",", "@@ -1,2 +3,4 @@", " * " + " ".join(w[9:])])
-    rows = [(1, "x\n" + lines), (1, "x\n" + lines), (2, hunk), (3, " ".join(w[:19])), (4, None), (5, ""), (6, " ".join(["swap" if i == 10 else x for i, x in enumerate(w)]))]
+    rows = [(1, "x\n" + lines), (1, "x\n" + lines), (2, hunk), (3, " ".join(w[:19])), (4, None), (5, ""), ((1 << 60) + 1, item), (None, item), (6, " ".join(["swap" if i == 10 else x for i, x in enumerate(w)]))]
     items = spark.createDataFrame([(10, item, "s"), (10, item, "s"), (11, None, "s"), (12, "", "s"), (None, "x", "s")], "item_id long, item_text string, words string")
     got = {(r["doc_id"], r["item_id"]): r["words"] for r in leakage.leaked(documents(spark, rows), items).collect()}
-    assert got == {(1, 10): len(w), (2, 10): len(w), (6, 10): len(w)}
+    assert got == {(1, 10): len(w), (2, 10): len(w), (6, 10): len(w), ((1 << 60) + 1, 10): len(w), (None, 10): len(w)}
     assert leakage.leaked(documents(spark, rows), items.filter("false")).count() == 0
     assert leakage.leaked(documents(spark, []), items).count() == 0
 
@@ -212,8 +212,8 @@ FOUND = {
 
 
 def test_finds_and_redacts(spark):
-    rows = [(1, TEXT), (1, TEXT), (2, None), (3, ""), (4, "nothing here\n" * 5000), (5, "a@b.test" * 3000)]
-    got = [tuple(r) for r in pii.found(documents(spark, rows)).filter("doc_id < 5").collect()]
+    rows = [(1, TEXT), (1, TEXT), (2, None), (3, ""), (4, "nothing here\n" * 5000), (5, "a@b.test" * 3000), (None, "nothing")]
+    got = [tuple(r) for r in pii.found(documents(spark, rows)).filter("doc_id < 5 OR doc_id IS NULL").collect()]
     assert len(got) == len(set(got))
     assert {(k, x) for d, k, x in got if d == 1} == FOUND and all(d == 1 for d, _, _ in got)
     out = {r["doc_id"]: r for r in pii.redacted(documents(spark, rows[1:])).collect()}
