@@ -19,11 +19,11 @@ def hot_threshold(rows: int) -> int:
 def hot_first_join(big: DataFrame, small: DataFrame, key: str, n: str, rows: int, how: str = "inner") -> DataFrame:
     """Join of ``big`` with ``small``, which has one row a key and the key's row count in ``big`` in ``n``.
 
-    Rows of hot keys never move: their at most ``HOT_SHARE`` rows of ``small`` are broadcast. All others meet by an
-    ordinary shuffle join. NULL keys join nothing; with ``how="left"`` rows without a partner stay.
+    ``rows`` is the size of ``big`` or more, so at most ``HOT_SHARE`` keys can be hot. Rows of hot keys never move: their
+    rows of ``small`` are broadcast. All others meet by an ordinary shuffle join. NULL keys join nothing; with ``how="left"`` rows without a partner stay.
     """
     bound = hot_threshold(rows)
-    hot = small.filter(F.col(n) >= bound).limit(HOT_SHARE)
+    hot = small.filter(F.col(n) >= bound)
     cold = small.filter(F.col(n) < bound)
     if hot.isEmpty():
         return big.join(cold, key, how)

@@ -278,3 +278,33 @@ def test_streaming_ingest(spark, tmp_path):
     assert spark.read.parquet(f"{out}/sections").count() == 2
     assert spark.read.parquet(f"{out}/bib").filter("paper_id = 'p1'").count() == 3
     assert [r["paper_id"] for r in spark.read.parquet(f"{out}/errors").collect()] == ["bad"]
+
+
+def test_fetchers_in_tasks(spark):
+    options = Options(api_timeout_secs=0.0)
+    papers = archive.paper_list(spark, ["a", "b", "a"])
+    got = fetch.archives(papers, options, lambda u: u.rsplit("/", 1)[-1].encode()).collect()
+    assert sorted((r["paper_id"], bytes(r["content"])) for r in got) == [("a", b"a"), ("b", b"b")]
+    ids = papers.selectExpr("paper_id AS arxiv_id")
+    answers = fetch.bibtex(ids, options, lambda u: b"@x{author title}" if u.endswith("a") else b"").collect()
+    assert {r["arxiv_id"]: r["bibtex"] for r in answers} == {"a": "@x{author title}", "b": None}
+    titles = spark.createDataFrame([("T 1",), (None,)], "title string")
+    found = {r["title"]: r["json"] for r in fetch.dblp(titles, options, lambda u: b'{"result": {"hits": {"@total": "0"}}}').collect()}
+    assert found == {"T 1": None, None: None}
+
+
+def test_windowed_citation_counts(spark, data, tmp_path):
+    import shutil
+
+    from citeloom.streaming import ingest
+
+    shutil.copy(f"{data}/sections.parquet", tmp_path / "part-0.parquet")
+    batch = spark.read.parquet(str(tmp_path))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path))
+    query = (
+        ingest.citation_counts(stream, "1 day", "30 days").writeStream.format("memory").queryName("counts").outputMode("complete")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    total = batch.select(F.explode("citations")).count()
+    assert spark.sql("SELECT sum(n) FROM counts").first()[0] == total
