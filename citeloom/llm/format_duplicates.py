@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.operators.skew import HOT_SHARE, SALTS, hot_first_join, hot_threshold
+from citeloom.operators.skew import SALTS, hot_first_join, hot_threshold
 from citeloom.session import materialise
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
@@ -55,9 +55,9 @@ def groups(rows: DataFrame, total: int) -> DataFrame:
     """One row per canonical key: ``first_id``, ``copies``. Rows without a key are left out."""
     rows = rows.filter(F.col("ckey").isNotNull())
     # Partial counts: combined before the shuffle, so a hot key costs each task one row.
-    hot = (
-        rows.groupBy("ckey").agg(F.count("*").alias("n")).filter(F.col("n") >= hot_threshold(total)).limit(HOT_SHARE)
-    ).select("ckey", F.lit(True).alias("hot"))
+    # At most HOT_SHARE keys can reach the threshold, which bounds the broadcast.
+    counts = rows.groupBy("ckey").agg(F.count("*").alias("n")).filter(F.col("n") >= hot_threshold(total))
+    hot = counts.select("ckey", F.lit(True).alias("hot"))
     marked = rows.join(F.broadcast(hot), "ckey", "left")
     aggs = (F.min("entry_id").alias("first_id"), F.count("*").alias("copies"))
     salted = (
