@@ -8,6 +8,7 @@ again, by deterministic parsers that expand from the anchor to the item's bounda
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,7 +46,7 @@ SERVICE_HOST_LABELS = ("bots", "bot", "lists", "list", "noreply", "users")
 _SKIPPED_LINES = ("@@ ", "index ", "diff --git ", "--- a/", "+++ b/", "Binary files ")
 
 _UP = r"[A-ZÀ-ÖØ-Þ]"
-_PROPER = rf"{_UP}[\w'’\-]*"
+_PROPER = rf"{_UP}[\w'’\-]{{0,60}}"
 _CITY = rf"{_PROPER}(?: {_PROPER}){{0,2}}"
 _ZIP = r"(?:,? (?:[A-Z]{2} )?\d{5}(?:-\d{4})?\b)?"
 _KIND = (
@@ -58,15 +59,14 @@ _ADDRESSES = re.compile(
         rf"\bP\. ?O\. ?Box \d+, {_CITY}{_ZIP}",
         rf"\bPO Box \d+, {_CITY}{_ZIP}",
         rf"\b(?:Calle|Avenida|Via|Rua) {_PROPER}(?: {_PROPER}){{0,2}} \d+[A-Za-z]?, (?:\d{{5}} )?{_CITY}{_ZIP}",
-        rf"\b{_UP}[\w\-]*(?:straße|strasse|str\.|weg|platz|allee|gasse) \d+[A-Za-z]?, \d{{5}} {_CITY}",
+        rf"\b{_UP}[\w\-]{{0,60}}?(?:straße|strasse|str\.|weg|platz|allee|gasse) \d+[A-Za-z]?, \d{{5}} {_CITY}",
         rf"\b\d+(?: bis| ter)?, (?:rue|avenue|boulevard|place|chemin) (?:de la |de |du |des |d'|l')?{_PROPER}(?:[ \-]{_PROPER}){{0,2}}, \d{{5}} {_CITY}",
     ))
 )
-_EMAIL = re.compile(
-    r"(?P<local>[^\W_](?:[\w.+\-]*[^\W_])?)"
-    r"(?:@| ?[(\[](?:at|AT)[)\]] ?)"
-    r"(?P<host>[^\W_](?:[\w\-]*[^\W_])?(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?)[^\W_](?:[\w\-]*[^\W_])?)+)"
-)
+_AT_SIGN = re.compile(r"@| ?[(\[](?:at|AT)[)\]] ?")
+_HOST_PART = r"[^\W_](?:[\w\-]{0,62}[^\W_])?"
+_HOST = re.compile(rf"{_HOST_PART}(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?){_HOST_PART}){{1,20}}")
+LONGEST_MAILBOX = 64
 _DOT = re.compile(r" ?[(\[](?:dot|DOT)[)\]] ?")
 _PHONE = re.compile(
     r"(?<![\w.+/\-])(?:"
@@ -86,18 +86,18 @@ _WORD = r"[^\W\d_][^\W\d_'’.\-]*(?:['’.\-][^\W\d_'’.\-]+)*\.?"
 _NAME = re.compile(rf"{_WORD}(?:(?:,? |~){_WORD}){{1,5}}$")
 _SIGNED = re.compile(
     r"^\W*(?:[\w\-]+-[Bb]y|[Aa]uthor|[Cc]ommitter|[Mm]aintainer|[Cc][Cc]|[Rr]eviewer|[Rr]eporter|[Aa]ssignee|[Oo]wner): *"
-    r"(?P<name>[^<>@\d]+?) <"
+    r"(?P<name>[^<>@\d]{1,120}?) <"
 )
 _NEXT_TO = (
-    re.compile(r"\bReporter: *(?P<name>[^@<>\d+(]+?), *[+(\d]"),
-    re.compile(r"\bidea by (?P<name>[^<>@\d]+?)\.?$"),
-    re.compile(r"\b[Tt]hanks to (?P<name>[^<>@\d]+?) for\b"),
-    re.compile(r"\b[Pp]air(?:ing|ed) with (?P<name>[^<>@\d]+?)\.?$"),
-    re.compile(r"^\W*(?P<name>[^<>@\d]+?) asked for this\b"),
-    re.compile(r"\b(?:TODO|FIXME)\((?P<name>[^()<>@\d]+?)\)"),
-    re.compile(r"(?:\([cC]\)|©) (?:\d{4}(?:-\d{4})? )?(?P<name>[^<>@\d]+?)$"),
-    re.compile(r"\bUser\(\s*['\"](?P<name>[^'\"<>@\d]+(?:'[^'\"<>@\d]+)?)['\"]"),
-    re.compile(r"\b(?:reviewer|author|assignee|owner|maintainer|reporter)['\"]?: *(?P<q>['\"])(?P<name>[^\"<>@\d]+?)(?P=q)"),
+    re.compile(r"\bReporter: *(?P<name>[^@<>\d+(]{1,120}?), *[+(\d]"),
+    re.compile(r"\bidea by (?P<name>[^<>@\d]{1,120}?)\.?$"),
+    re.compile(r"\b[Tt]hanks to (?P<name>[^<>@\d]{1,120}?) for\b"),
+    re.compile(r"\b[Pp]air(?:ing|ed) with (?P<name>[^<>@\d]{1,120}?)\.?$"),
+    re.compile(r"^\W*(?P<name>[^<>@\d]{1,120}?) asked for this\b"),
+    re.compile(r"\b(?:TODO|FIXME)\((?P<name>[^()<>@\d]{1,120}?)\)"),
+    re.compile(r"(?:\([cC]\)|©) (?:\d{4}(?:-\d{4})? )?(?P<name>[^<>@\d]{1,120}?)$"),
+    re.compile(r"\bUser\(\s*['\"](?P<name>[^'\"<>@\d]{1,60}(?:'[^'\"<>@\d]{1,60})?)['\"]"),
+    re.compile(r"\b(?:reviewer|author|assignee|owner|maintainer|reporter)['\"]?: *(?P<q>['\"])(?P<name>[^\"<>@\d]{1,120}?)(?P=q)"),
 )
 
 
@@ -126,25 +126,40 @@ def _automaton():
     return found
 
 
+def _mail_spans(line: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end of the mailbox, start of the host, end) of all that has the form of an address."""
+    for m in _AT_SIGN.finditer(line):
+        host = _HOST.match(line, m.end())
+        if host is None:
+            continue
+        start, stop = m.start(), m.start()
+        while start and (line[start - 1].isalnum() or line[start - 1] in "._+-") and stop - start <= LONGEST_MAILBOX:
+            start -= 1
+        while start < stop and not line[start].isalnum():
+            start += 1
+        if 0 < stop - start <= LONGEST_MAILBOX and line[stop - 1].isalnum():
+            yield start, stop, host.start(), host.end()
+
+
 def _emails(line: str) -> Iterator[tuple[int, int]]:
-    for m in _EMAIL.finditer(line):
-        host = _DOT.sub(".", m["host"]).lower()
+    for start, stop, host_at, end in _mail_spans(line):
+        host = _DOT.sub(".", line[host_at:end]).lower()
         labels = host.split(".")
         if not labels[-1].isalpha() or len(labels[-1]) < 2 or labels[-1] in FILE_SUFFIXES:
             continue  # a version or a file name
-        local = m["local"].lower()
+        local = line[start:stop].lower()
         if local.split("+")[0] in SERVICE_MAILBOXES or local.endswith(("-list", "-bot", "[bot]")):
             continue
         if any(x in SERVICE_HOST_LABELS for x in labels[:-1]):
             continue
-        head = line[: m.start()]
-        if head.endswith(":") and "://" in head[-200:].rsplit(" ", 1)[-1]:
+        head = line[max(0, start - 200) : start]
+        if head.endswith(":") and "://" in head.rsplit(" ", 1)[-1]:
             continue  # the password of an address with credentials
         if head.endswith("@") or (head.endswith("/") and "@" in head.rsplit(" ", 1)[-1]):
             continue  # a package name
-        if line[m.end() : m.end() + 1] == ":" and line[m.end() + 1 : m.end() + 2].strip():
+        if line[end : end + 1] == ":" and line[end + 1 : end + 2].strip():
             continue  # user@host:path
-        yield m.start(), m.end()
+        yield start, end
 
 
 def _phones(line: str) -> Iterator[tuple[int, int]]:
@@ -172,7 +187,7 @@ def _names(line: str) -> Iterator[tuple[int, int]]:
         return
     if "|" in line:
         cells = line.split("|")
-        if len(cells) > 2 and _EMAIL.search(line):
+        if len(cells) > 2 and next(_mail_spans(line), None):
             at = 0
             for c in cells:
                 word = c.strip("+- \t\"'")
@@ -217,8 +232,9 @@ class Finder:
 
             def take(found: Iterator[tuple[int, int]], kind: str, start=start, taken=taken) -> None:
                 for a, b in found:
-                    if all(b <= x or a >= y for x, y in taken):
-                        taken.append((a, b))
+                    i = bisect_left(taken, (a, b))
+                    if (i == len(taken) or b <= taken[i][0]) and (i == 0 or taken[i - 1][1] <= a):
+                        taken.insert(i, (a, b))
                         out.append((start + a, start + b, kind))
 
             if kinds & _LABEL:

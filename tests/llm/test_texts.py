@@ -1,6 +1,7 @@
 """Operators on texts: problems 3, 7, 8 and 9."""
 
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -231,3 +232,10 @@ def test_spans_never_overlap(text):
     spans = pii.Finder().spans(text)
     assert all(a < b for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
     assert pii.redact_text(pii.Finder(), text).count("\n") == text.count("\n")
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + " x@y.com", "a." * 100_000 + "@", "a@b.cc " * 20_000, "A-" * 100_000 + "straße 1", "Ann Lee|" * 20_000 + "a@b.cc"])
+def test_very_long_lines_take_linear_time(text):
+    began = time.perf_counter()
+    pii.Finder().spans(text)
+    assert time.perf_counter() - began < 20
