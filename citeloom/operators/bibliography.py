@@ -23,8 +23,9 @@ def parse_bbl(files: DataFrame, options: Options | None = None) -> DataFrame:
     items = files.select("ord", "file_ord", F.posexplode(bbl.bibliography_items("content")).alias("pos", "item"))
     item = F.col("item")
     if options.fix_label_lines:  # the label of an item goes onto one line
-        label = F.regexp_extract(item, r"^\\bibitem(?:\[[^\]]*\])?\{[^}]+\}", 0)
-        item = F.concat(F.regexp_replace(label, r"\s*\n\s*", " "), F.expr("substring(item, length(regexp_extract(item, '^\\\\\\\\bibitem(?:\\\\[[^\\\\]]*\\\\])?\\\\{[^}]+\\\\}', 0)) + 1)"))
+        label = F.regexp_extract(item, "^" + bbl.ITEM_HEAD, 0)
+        behind = F.substring(item, F.length(label) + 1, F.length(item))
+        item = F.concat(F.regexp_replace(label, r"\s*\n\s*", " "), behind)
     return items.select(
         "ord",
         "file_ord",

@@ -173,3 +173,15 @@ def test_fields(spark):
     assert got == [{"a": "2"}, {"a": "2"}, {"a": "1"}]
     assert bibliography.get(df, "k").count() == 2
     assert bibliography.promoted(df, ("a",)).columns == ["key", "v", "a", "other_fields"]
+
+
+def test_labels_over_several_lines(spark):
+    from citeloom.config import Options
+
+    doc = "\\begin{thebibliography}{9}\n\\bibitem[Cojocaru(2023)Cojocaru,\n  and Sanghai]{falcon40b}\nRuxandra Cojocaru, Ann Lee.\n\\newblock Falcon.\n\\end{thebibliography}"
+    files = spark.createDataFrame([(0, 0, doc)], "ord int, file_ord int, content string")
+    plain = bibliography.parse_bbl(files).first()
+    fixed = bibliography.parse_bbl(files, Options(fix_label_lines=True)).first()
+    assert plain["fields"]["author"] == "and Sanghai]{falcon40b}"  # the second physical line
+    assert fixed["fields"]["author"] == "Ruxandra Cojocaru, Ann Lee." and fixed["key"] == "falcon40b"
+    assert fixed["fields"]["title"] == plain["fields"]["title"] == "Falcon"
