@@ -22,10 +22,10 @@ from citeloom.llm.name_variants import _one_edit
 from citeloom.operators.skew import hot_first_join
 from citeloom.session import materialise
 
-#: Bands over title trigrams alone: two titles of Jaccard similarity 0.87 meet with probability 0.995, of 0.35 with 0.0004.
-TITLE_BANDS, TITLE_ROWS = 16, 10
-#: Bands joined with the first author: similarity 0.7 meets with probability 0.99.
-AUTHOR_BANDS, AUTHOR_ROWS = 12, 3
+#: Bands over title trigrams alone: two titles of Jaccard similarity 0.87 meet with probability 0.997, of 0.35 with 0.0006.
+TITLE_BANDS, TITLE_ROWS = 20, 10
+#: Bands joined with the first author: similarity 0.65 meets with probability 0.994.
+AUTHOR_BANDS, AUTHOR_ROWS = 16, 3
 #: Title pairs below this trigram similarity are not scored.
 LEAST_SIMILAR = 0.45
 #: Rows that the classifier is fitted and calibrated on, at most; all candidate pairs are scored.
