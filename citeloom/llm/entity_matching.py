@@ -30,7 +30,7 @@ AUTHOR_BANDS, AUTHOR_ROWS = 16, 3
 LEAST_SIMILAR = 0.45
 #: Rows that the classifier is fitted and calibrated on, at most; all candidate pairs are scored.
 LABELLED_ROWS = 40_000
-#: Records with one title beyond which first author and year must agree too (titles such as "Editorial").
+#: Records of one title that are held in one row; titles with more (such as "Editorial") are spread over several rows.
 CROWDED = 50
 THRESHOLD = 0.5
 
@@ -439,22 +439,26 @@ def train(sample: pd.DataFrame) -> np.ndarray:
 _OFFER = ("hit_id", "families", "r_year", "similar", "only_a", "only_b", "sequel")
 
 
-def offers(titled: DataFrame, hits: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(tid, offers, n): each title's candidate records in one row, with the number ``n`` of entries of that title."""
-    per_title = titled.join(hits, "rid").groupBy("tid").agg(F.collect_list(F.struct(*_OFFER)).alias("offers"))
-    return per_title.join(sizes, "tid")
-
+def packed_hits(right: DataFrame, rows: int) -> DataFrame:
+    """(rid, part, held): the records of each title, at most about ``CROWDED`` to a part.
 
-def crowded_pairs(titled: DataFrame, left: DataFrame, hits: DataFrame, sizes: DataFrame, rows: int) -> DataFrame:
-    """Pairs for titles that more than ``CROWDED`` records share: entry and record agree in first author and about the
-    year, since the title alone says nothing there."""
-    near = titled.join(hits.select("rid").distinct(), "rid").groupBy("tid").agg(
-        F.collect_list(F.struct("rid", "similar", "only_a", "only_b", "sequel")).alias("near")
-    )
-    met = hot_first_join(left.select("entry_id", "tid", "first", "authors", "year"), near.join(sizes, "tid"), "tid", "n", rows)
-    asked = met.select("entry_id", "first", "authors", "year", F.inline("near"))
-    around = asked.withColumn("r_year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
-    return around.join(hits, ["rid", "first", "r_year"]).select("entry_id", "authors", "year", *_OFFER)
+    Records of one title with equal authors and year score alike and ties go to the smallest ``hit_id``, so only that
+    one is kept; no other record is left out.
+    """
+    hits = right.groupBy(F.col("tid").alias("rid"), "families", F.col("year").alias("r_year")).agg(F.min("hit_id").alias("hit_id"))
+    crowd = hits.groupBy("rid").agg(F.count("*").alias("k")).filter(F.col("k") > CROWDED)
+    part = F.lit(0)
+    if not crowd.isEmpty():
+        hits = hot_first_join(hits, crowd, "rid", "k", rows, "left")
+        part = F.coalesce(F.pmod(F.xxhash64("hit_id", F.lit(5)), F.ceil(F.col("k") / CROWDED)), F.lit(0)).cast("int")
+    return hits.groupBy("rid", part.alias("part")).agg(F.collect_list(F.struct("hit_id", "families", "r_year")).alias("held"))
+
+
+def offers(titled: DataFrame, packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tid, part, offers, n): each title's candidate records, and the number ``n`` of entries of that title."""
+    offer = F.transform("held", lambda h: F.struct(*[h[c].alias(c) if c in ("hit_id", "families", "r_year") else F.col(c) for c in _OFFER]))
+    per_title = titled.join(packed, "rid").groupBy("tid", "part").agg(F.flatten(F.collect_list(offer)).alias("offers"))
+    return per_title.join(sizes, "tid")
 
 
 def matches(bib: DataFrame, dblp: DataFrame) -> DataFrame:
@@ -468,18 +472,22 @@ def matches(bib: DataFrame, dblp: DataFrame) -> DataFrame:
     titled = materialise(title_pairs(left, right), "p1-titles")
     rows = left.count()
     sizes = left.groupBy("tid").agg(F.count("*").alias("n"))
-    hits = right.select(F.col("tid").alias("rid"), "hit_id", "first", "families", F.col("year").alias("r_year"))
-    crowd = hits.groupBy("rid").agg(F.count("*").alias("k")).filter(F.col("k") > CROWDED).select("rid")
-    crowded = not crowd.isEmpty()
-    single = hits.join(crowd, "rid", "left_anti") if crowded else hits
-    packed = materialise(offers(titled, single, sizes), "p1-offers")
-    tight = crowded_pairs(titled, left, hits.join(crowd, "rid"), sizes, rows) if crowded else None
+    packed = materialise(offers(titled, packed_hits(right, right.count()), sizes), "p1-offers")
+    # Entries of a title with several parts are sent to each of them, so no task holds all records of a title.
+    spans = packed.groupBy("tid").agg(F.max("part").alias("last"), F.max("n").alias("n")).filter("last > 0")
+    sent = spans.agg(F.sum(F.col("n") * (F.col("last") + 1))).first()[0]
+    single = packed.join(spans, "tid", "left_anti") if sent else packed
+    at = F.struct("tid", "part").alias("at")
 
     def scored(some: DataFrame) -> DataFrame:
-        met = hot_first_join(some.select("entry_id", "tid", "authors", "year"), packed, "tid", "n", rows)
-        pairs = met.select("entry_id", "authors", "year", F.inline("offers"))
-        if tight is not None:
-            pairs = pairs.unionByName(tight.join(some.select("entry_id"), "entry_id", "left_semi"))
+        asked = some.select("entry_id", "tid", "authors", "year")
+        pairs = hot_first_join(asked, single, "tid", "n", rows).select("entry_id", "authors", "year", F.inline("offers"))
+        if sent:
+            wide = hot_first_join(asked, spans, "tid", "n", rows).withColumn("part", F.explode(F.sequence(F.lit(0), "last")))
+            met = hot_first_join(
+                wide.select("entry_id", "authors", "year", at), packed.join(spans.select("tid"), "tid").select(at, "offers", "n"), "at", "n", sent
+            )
+            pairs = pairs.unionByName(met.select("entry_id", "authors", "year", F.inline("offers")))
         return features(pairs)
 
     # The same entries are drawn on every run: by the hash of their identifier, as many as LABELLED_ROWS may need.

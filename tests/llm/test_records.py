@@ -375,3 +375,27 @@ def test_crowded_titles_need_author_and_year(spark, monkeypatch):
     hits = [(i, info("Editorial.", str(2000 + i), [f"Ann {f.title()}"])) for i, f in enumerate(FAMILIES)]
     got = entity_matching.matches(bib(spark, rows), spark.createDataFrame([(i, h, "c", "c") for i, h in hits], DBLP))
     assert {(r["entry_id"], r["hit_id"]) for r in got.collect()} == {(i, i) for i in range(len(FAMILIES))}
+
+
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_crowded_titles_lose_no_candidate(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    people = [f"Ann {f.title()}" for f in FAMILIES[:12]]
+    rows = [(i, "k", "article", {"title": "Editorial notes", "author": p, "year": str(2000 + i)}) for i, p in enumerate(people)]
+    rows += [  # a record without authors, an entry without any, none with a year, a misprinted first author, a far year
+        (100, "k", "article", {"title": "Editorial notes", "author": "Eve Nobody", "year": "1950"}),
+        (101, "k", "article", {"title": "Editorial notes", "year": "2003"}),
+        (102, "k", "article", {"title": "Editorial notes", "author": people[4]}),
+        (103, "k", "article", {"title": "Editorial notes", "author": f"Ann Xx{FAMILIES[5]} and {people[6]}", "year": "2006"}),
+        (104, "k", "article", {"title": "Editorial notes", "author": people[7], "year": "2010"}),
+        (105, "k", "article", {"title": "Editorial note", "author": people[8], "year": "2010"}),
+    ]
+    hits = [(i, info("Editorial notes.", str(2000 + i), [p])) for i, p in enumerate(people)]
+    hits += [(60, info("Editorial notes", "1950", None)), (61, info("Editorial notes", "1950", None))]
+    tables = bib(spark, rows), spark.createDataFrame([(i, h, "c", "c") for i, h in hits], DBLP)
+    found = []
+    for crowded in (50, 3):
+        monkeypatch.setattr(entity_matching, "CROWDED", crowded)
+        found.append({r["entry_id"]: (r["hit_id"], round(r["confidence"], 9)) for r in entity_matching.matches(*tables).collect()})
+    assert found[0] == found[1]
+    assert {i: found[1][i][0] for i in (100, 101, 102, 103, 104)} == {100: 60, 101: 3, 102: 4, 103: 6, 104: 7}
