@@ -2,8 +2,9 @@
 
 Method: noisy-channel attribution. Frequent forms are the candidate canonical ones; a candidate's prior is how often
 its spellings are printed, the channel knows one-letter typos, abbreviated and dropped given names, nicknames and
-reordering, and every form is attached to its maximum posterior. A form looks up only the most frequent form under
-each of its blocking keys (an aggregate), so a surname that a third of all rows share costs no pairs.
+reordering, and every form is attached to its maximum posterior. Under each of its blocking keys a form is judged against
+all holders that the channel tells apart: written-out names meet every written-out name that is close in family and given
+name; initials meet the first in rank of each family name, with and without further initials.
 """
 
 from __future__ import annotations
@@ -161,31 +162,32 @@ def _deletes(word: str, least: int) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-def _keys(family: str, given: str, short: str) -> list[tuple[str, bool, bool]]:
-    """(key, probes, offers) of a form. Under an offered key a form can be found, under a probed one it looks."""
-    out: dict[str, list[bool]] = {}
+def _name_keys(family: str, given: str) -> set[str]:
+    """Keys of a written-out name: any two that the channel takes for each other share one."""
+    families, solids = _deletes(family, FAMILY_LETTERS), _deletes(given.replace("-", ""), GIVEN_LETTERS)
+    heads = (*NICKNAMES.get(given, ()), given.split("-")[0])
+    return {f"g|{f}|{g}" for f in families for g in solids} | {f"n|{f}|{h}" for f in families for h in heads}
 
-    def put(key: str, probes: bool = True, offers: bool = True) -> None:
-        flags = out.setdefault(key, [False, False])
+
+def _initial_keys(family: str, given: str, short: str) -> list[tuple[str, str, bool, bool]]:
+    """(key, class, probes, offers) of a form. Under an offered key a form can be found, under a probed one initials look.
+
+    Initials fit any given name, so forms of one key and class (family, further initials or none) are equally likely
+    for them, and the one of highest rank stands for all.
+    """
+    out: dict[tuple[str, str], list[bool]] = {}
+
+    def put(key: str, kind: str, probes: bool = True, offers: bool = True) -> None:
+        flags = out.setdefault((key, kind), [False, False])
         flags[0] |= probes
         flags[1] |= offers
 
     first, rest = short[:1], short[1:]
-    if given:
-        solid = given.replace("-", "")
-        for tail in ("*", rest or "-"):
-            for g in _deletes(solid, GIVEN_LETTERS):
-                put(f"g|{family}|{g}|{tail}")
-            for f in _deletes(family, FAMILY_LETTERS):
-                put(f"f|{f}|{solid}|{tail}")
-        for full in (*NICKNAMES.get(given, ()), given.split("-")[0]):
-            put(f"n|{family}|{full}")
-    for f in _deletes(family, FAMILY_LETTERS):
-        if first:
-            put(f"i|{f}|{short}")
-            put(f"i|{f}|{first}.", probes=not rest and not given, offers=True)
-            put(f"i|{f}|{first}-", probes=bool(rest) and not given, offers=not rest)
-    return [(k, a, b) for k, (a, b) in out.items()]
+    for f in _deletes(family, FAMILY_LETTERS) if first else ():
+        put(f"i|{f}|{short}", family, probes=not given)
+        put(f"i|{f}|{first}.", f"{family}|{'+' if rest else '-'}", probes=not rest and not given)
+        put(f"i|{f}|{first}-", family, probes=bool(rest) and not given, offers=not rest)
+    return [(k, c, a, b) for (k, c), (a, b) in out.items() if a or b]
 
 
 def _given(a: str, b: str) -> float | None:
@@ -253,6 +255,38 @@ def printed(papers: DataFrame, bib: DataFrame) -> DataFrame:
 _FORM = ("family", "given", "short")
 
 
+def written_pairs(forms: DataFrame) -> DataFrame:
+    """(form, c_form): written-out forms, each with all forms of higher rank that are close in family and given name.
+
+    Keys are shared by pairs of family and given name, whatever the further initials; those must not conflict.
+    """
+    size = F.length("given") + F.length("short")
+    rest = F.when(F.col("short") != "", F.substring("short", 2, 1 << 20)).otherwise("")
+    bases = forms.filter("given <> ''").groupBy("family", "given").agg(
+        F.collect_list(F.struct("n", size.alias("size"), "form", rest.alias("rest"))).alias("held")
+    )
+    bases = materialise(bases.withColumn("base", F.xxhash64("family", "given")), "p4-bases")
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [_name_keys(*x) for x in zip(pdf["family"], pdf["given"])]
+            hashed = pd.util.hash_array(np.array([k for ks in keys for k in ks], dtype=object)).view(np.int64)
+            yield pd.DataFrame({"key": hashed, "base": np.repeat(pdf["base"].to_numpy(), [len(ks) for ks in keys])})
+
+    spread = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = bases.select("base", "family", "given").repartition(spread, "base").mapInPandas(emit, "key long, base long")
+    shared = keyed.groupBy("key").agg(F.collect_set("base").alias("bases")).filter("size(bases) > 1").select("bases")
+    near = shared.distinct().select(F.explode("bases").alias("base"), "bases").select("base", F.explode("bases").alias("c_base"))
+    near = near.filter("base <> c_base").distinct().unionByName(bases.select("base", F.col("base").alias("c_base")))
+    mine = bases.select("base", F.col("held").alias("a"))
+    theirs = bases.select(F.col("base").alias("c_base"), F.col("held").alias("cs"))
+    met = near.join(mine, "base").join(theirs, "c_base").select(F.explode("a").alias("a"), "cs")
+    rank = lambda x: F.struct(x["n"], x["size"], x["form"])
+    fits = lambda c: (c["rest"] == F.col("a.rest")) | (c["rest"] == "") | (F.col("a.rest") == "")
+    found = met.select(F.col("a.form").alias("form"), F.explode(F.filter("cs", lambda c: (rank(c) > rank(F.col("a"))) & fits(c))).alias("c"))
+    return found.select("form", F.col("c.form").alias("c_form"))
+
+
 def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
     """(name_id, cluster): ``cluster`` is the smallest ``name_id`` of the spellings of one person or body.
 
@@ -291,10 +325,11 @@ def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, probes, offers, rows = [], [], [], []
+            keys, kinds, probes, offers, rows = [], [], [], [], []
             for at, (family, given, short) in enumerate(zip(pdf["family"], pdf["given"], pdf["short"])):
-                for key, a, b in _keys(family, given, short):
+                for key, kind, a, b in _initial_keys(family, given, short):
                     keys.append(key)
+                    kinds.append(kind)
                     probes.append(a)
                     offers.append(b)
                     rows.append(at)
@@ -302,21 +337,26 @@ def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
             # Written-out names go before initials, then the more frequent, then the longer, then any fixed order.
             out["full"] = (pdf["given"] != "").to_numpy()[rows]
             out["size"] = (pdf["given"].str.len() + pdf["short"].str.len()).to_numpy()[rows]
-            hashed = pd.util.hash_array(np.array(keys, dtype=object)).view(np.int64)
-            yield out.assign(key=hashed, probes=probes, offers=offers)
+            hashed, kinds = (pd.util.hash_array(np.array(x, dtype=object)).view(np.int64) for x in (keys, kinds))
+            yield out.assign(key=hashed, kind=kinds, probes=probes, offers=offers)
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few bytes a form become dozens of keys
     keyed = forms.repartition(spread, "form").mapInPandas(
-        emit, "form long, n long, full boolean, size int, key long, probes boolean, offers boolean"
+        emit, "form long, n long, full boolean, size int, key long, kind long, probes boolean, offers boolean"
     )
     keyed = materialise(keyed, "p4-keys")
-    top = keyed.filter("offers").groupBy("key").agg(F.max(F.struct("full", "n", "size", "form")).alias("c"), F.count("*").alias("held"))
-    pairs = (
-        hot_first_join(keyed.filter("probes").select("key", "form"), top, "key", "held", keyed.count())
-        .select("form", F.col("c.form").alias("c_form"))
-        .filter("form <> c_form")
+    rank = F.struct("full", "n", "size", "form")
+    best_of_kind = keyed.groupBy("key", "kind").agg(
+        F.max(F.when(F.col("offers"), rank)).alias("c"), F.count_if("probes").alias("held")
+    )
+    top = best_of_kind.groupBy("key").agg(F.collect_list("c").alias("cs"), F.sum("held").alias("held")).filter("size(cs) > 0 AND held > 0")
+    of_initials = (
+        hot_first_join(keyed.filter("probes").select("key", rank.alias("me")), top, "key", "held", keyed.count())
+        .select("me", F.explode(F.filter("cs", lambda c: c > F.col("me"))).alias("c"))
+        .select("me.form", F.col("c.form").alias("c_form"))
         .distinct()
     )
+    pairs = of_initials.unionByName(written_pairs(forms))
     described = forms.select("form", *_FORM, "n")
     others = described.select(*[F.col(c).alias(f"c_{c}") for c in described.columns])
     candidates = pairs.join(described, "form").join(others, "c_form")

@@ -269,6 +269,38 @@ def test_name_variants(spark):
     assert name_variants.clusters(*name_tables(spark, [])).count() == 0
 
 
+def test_name_variants_behind_a_more_frequent_namesake(spark):
+    names = {1: "Robert T. Smith", 2: "Robert K. Smith", 3: "Bob K. Smith", 4: "Maria T. Lee", 5: "Maria Lee", 6: "Maria K. Lee", 7: "R. K. Smith"}
+    table = spark.createDataFrame([(i, n) for i, n in names.items()], "name_id long, name string")
+    papers = spark.createDataFrame([(names[1],)] * 50 + [(names[2],)] * 5 + [(names[4],)] * 9 + [(names[5],)] * 5, "authors string")
+    entries = spark.createDataFrame([], "fields map<string,string>")
+    found = {r["name_id"]: r["cluster"] for r in name_variants.clusters(table, papers, entries).collect()}
+    assert found[1] == 1 and found[2] == found[3] == found[7] == 2 and found[5] == found[6]
+
+
+def test_name_keys_lead_to_every_likely_form():
+    r = random.Random(8)
+    names = ["Robert Hansen", "Robert K. Hansen", "Bob Jansen", "Rob Hansem", "Anna-Lena Hansen", "Anna Hansem", "Annalena Hansn", "A. Hansen",
+             "A. K. Hansem", "R. Hansen", "R. T. Jansen", "Roberta Hansen", "Robrt Hnsen", "Al Lee", "Al K. Lee", "A. Lee", "Sobayo Lab", "Sobayp Lab"]
+    forms = {name_variants.parse(n)[0]: r.randint(0, 9) for n in names}
+    rank = lambda f: (bool(f[1]), forms[f], len(f[1]) + len(f[2]), f)
+    for a in forms:
+        likely = {b: s for b in forms if rank(b) > rank(a) and (s := name_variants._likelihood(a, b)) is not None}
+        if a[1]:
+            met = {b for b in forms if b[1] and name_variants._name_keys(*a[:2]) & name_variants._name_keys(*b[:2])}
+            assert set(likely) <= met, a
+            continue
+        probed = {k for k, _, probes, _ in name_variants._initial_keys(*a) if probes}
+        tops = {}
+        for b in forms:
+            for k, kind, _, offers in name_variants._initial_keys(*b):
+                if offers and k in probed:
+                    tops.setdefault((k, kind), []).append(b)
+        met = {max(t, key=rank) for t in tops.values()}
+        for b, score in likely.items():  # b itself, or one of higher rank that is as likely
+            assert b in met or any(rank(c) > rank(b) and likely.get(c) == score for c in met), (a, b)
+
+
 def test_printed_counts(spark):
     _, papers, entries = name_tables(spark, [])
     got = {r["name"]: r["n"] for r in name_variants.printed(papers, entries).collect()}
