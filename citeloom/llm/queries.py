@@ -65,6 +65,11 @@ def p6_associations(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
 
 
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of keys cited together, in however few sections."""
+    return cooccurrence.associations(table(spark, folder, "sections"), least=1)
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(table(spark, folder, "documents"))
 
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p5_records,
         p6_found,
         p6_associations,
+        p6_pairs,
         p7_containers,
         p7_fill,
         p8_found,

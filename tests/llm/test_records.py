@@ -107,6 +107,16 @@ def test_cooccurrence(spark, monkeypatch, hot):
     assert found == {(a, b) for a, b, ab, na, nb, n in brute_pairs(rows, 4) if ab * n >= na * nb}
 
 
+def test_every_pair_of_keys_is_counted(spark, data):
+    from citeloom.llm.queries import QUERIES
+
+    cited = spark.read.parquet(f"{data}/sections.parquet").select("paper_id", "kind", "pos", "citations").collect()
+    got = QUERIES["p6_pairs"](spark, data).collect()
+    expected = brute_pairs([tuple(r) for r in cited], 1)
+    assert {tuple(x)[:6] for x in got} == expected and len(got) == len(expected)
+    assert any(x["n_ab"] < 5 for x in got)
+
+
 def test_cooccurrence_of_nothing(spark):
     assert cooccurrence.associations(sections(spark, [])).count() == 0
     assert cooccurrence.associations(sections(spark, [("p", "s", 1, None), ("q", "s", 1, ["a"])])).count() == 0
