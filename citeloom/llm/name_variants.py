@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions import bbl
 from citeloom.operators.skew import hot_first_join
 from citeloom.session import materialise
 
@@ -224,15 +225,21 @@ def _likelihood(a: tuple[str, str, str], b: tuple[str, str, str]) -> float | Non
     return score + INITIAL if a[2][0] == b[2][0] else None
 
 
+def raw_names(raw: Column) -> Column:
+    """Author list of a ``raw`` item, up to ``et al.`` or the quoted title; a full stop behind a word is not part of it."""
+    line = F.regexp_replace(bbl.item_author(raw), r"(?s)\s*,?\s*(?:``.*|\\emph\{)?\s*$", "")
+    return F.regexp_replace(line, r"(?<=\p{L}{2})\.$", "")
+
+
 def printed(papers: DataFrame, bib: DataFrame) -> DataFrame:
     """(name, n): how often each string between separators stands in an author list of a paper or an entry.
 
-    Lists are cut at `` and `` and at commas; neighbouring parts are also tried together, since ``Family, Given`` has a
+    An entry without ``author`` counts by the author line of its ``raw`` item. Lists are cut at `` and `` and at commas; neighbouring parts are also tried together, since ``Family, Given`` has a
     comma of its own. Strings that are no spelling simply match nothing later.
     """
-    lists = papers.select(F.col("authors").alias("x")).unionAll(
-        bib.select(F.col("fields")["author"].alias("x"))
-    )
+    f = F.col("fields")
+    listed = F.when(f["author"].rlike(r"\S"), f["author"]).otherwise(raw_names(f["raw"]))
+    lists = papers.select(F.col("authors").alias("x")).unionAll(bib.select(listed.alias("x")))
     parts = F.transform(
         F.split(F.regexp_replace("x", r"\s+", " "), r", and | and |; ?"), lambda p: F.split(p, ", ?")
     )

@@ -317,6 +317,22 @@ def test_printed_counts(spark):
     assert got["Gabriella V. Dubátratrus"] == 4 and got["Dubatratrus, G."] == 1
 
 
+def test_printed_counts_read_raw_where_no_author_is(spark):
+    _, papers, _ = name_tables(spark, [])
+    items = [
+        {"raw": "\\bibitem{a}\nZuzana J. Klo, Rosalind Bufö, ``A View, of it,'' in \\emph{CORP}, 2021."},
+        {"raw": "\\bibitem{b}\nFlorian Leta \\emph{et~al.}, ``On Trees,'' 2008."},
+        {"raw": "\\bibitem{c}\nRIJU Theo, Grori, Ben.\n\\newblock Lookahead.", "author": " "},
+        {"raw": "\\bibitem[T(1997)]%\n        {t}\n\\bibfield{author}{\\bibinfo{person}{Dora Tih}, \\bibinfo{person}{Zuzana J. Klo}.} \\bibinfo{year}{1997}"},
+        {"raw": "\\bibitem{d}\nNot Counted.\n\\newblock X.", "author": "Ann Bo"},
+        {"raw": "\\bibitem{e}\nLee, M.\n\\newblock X."},
+    ]
+    entries = spark.createDataFrame([(x,) for x in items], "fields map<string,string>")
+    got = {r["name"]: r["n"] for r in name_variants.printed(papers, entries).collect()}
+    expected = {"Zuzana J. Klo": 2, "Rosalind Bufö": 1, "Florian Leta": 1, "RIJU Theo": 1, "Grori, Ben": 1, "Dora Tih": 1, "Ann Bo": 1, "Lee, M.": 1}
+    assert {k: got.get(k) for k in expected} == expected and "Not Counted" not in got
+
+
 def test_one_edit():
     edits = {"abcd", "abc", "bcd", "acbd", "abxd", "abcde", "xabcd"}
     assert all(name_variants._one_edit("abcd", e) and name_variants._one_edit(e, "abcd") for e in edits)
