@@ -43,7 +43,10 @@ SERVICE_MAILBOXES = (
 FILE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "zip", "json", "yaml", "html", "css", "scss", "tsx")
 SERVICE_HOST_LABELS = ("bots", "bot", "lists", "list", "noreply", "users")
 
-_SKIPPED_LINES = ("@@ ", "index ", "diff --git ", "--- a/", "+++ b/", "Binary files ")
+_SKIPPED_LINES = ("diff --git ", "--- a/", "+++ b/")
+_SKIPPED_FORMS = re.compile(r"index [0-9a-f,]{4,}\.\.[0-9a-f]{4,64}(?: \d{6})?\r?$|Binary files [^\n]+ and [^\n]+ differ\r?$", re.M)
+_HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
+_SEPARATORS = "\"'`\\,;:=\t[](){}<>"
 
 _UP = r"[A-ZÀ-ÖØ-Þ]"
 _PROPER = rf"{_UP}[\w'’\-]{{0,60}}"
@@ -176,6 +179,13 @@ def _ids(line: str) -> Iterator[tuple[int, int]]:
             yield m.start("value"), m.start("value") + len(value)
 
 
+def _apart(found: Iterator[tuple[int, int]], line: str) -> Iterator[tuple[int, int]]:
+    """Those that begin and end at a separator or an end of the line."""
+    for a, b in found:
+        if (a == 0 or line[a - 1] in _SEPARATORS) and (b == len(line) or line[b] in _SEPARATORS):
+            yield a, b
+
+
 def _is_name(text: str) -> bool:
     return 3 < len(text) <= 80 and bool(_NAME.match(text))
 
@@ -220,14 +230,16 @@ class Finder:
             lines[start] = lines.get(start, 0) | kind
         out: list[tuple[int, int, str]] = []
         for start, kinds in lines.items():
-            if text.startswith(_SKIPPED_LINES, start):
+            if text.startswith(_SKIPPED_LINES, start) or _SKIPPED_FORMS.match(text, start):
                 continue
+            if m := _HUNK.match(text, start):  # the text behind a hunk's header
+                start = m.end()
             stop = text.find("\n", start)
             line = text[start : len(text) if stop < 0 else stop].rstrip("\r")
             if line[:1] in ("+", "-") and not line[1:2].isdigit():
                 start, line = start + 1, line[1:]
-            if len(line) > 50 and " " not in line and "|" not in line and "@" not in line:
-                continue  # encoded data
+            # In encoded data and other lines without a space, numbers must stand between separators.
+            dense = len(line) > 50 and " " not in line and "|" not in line and "@" not in line
             taken: list[tuple[int, int]] = []
 
             def take(found: Iterator[tuple[int, int]], kind: str, start=start, taken=taken) -> None:
@@ -238,11 +250,11 @@ class Finder:
                         out.append((start + a, start + b, kind))
 
             if kinds & _LABEL:
-                take(_ids(line), ID_NUMBER)
+                take(_apart(_ids(line), line) if dense else _ids(line), ID_NUMBER)
             if kinds & _STREET:
                 take((m.span() for m in _ADDRESSES.finditer(line)), ADDRESS)
             if kinds & _DIGITS:
-                take(_phones(line), PHONE)
+                take(_apart(_phones(line), line) if dense else _phones(line), PHONE)
             if kinds & _AT:
                 take(_emails(line), EMAIL)
             if kinds & _CUE:

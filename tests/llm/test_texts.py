@@ -239,3 +239,17 @@ def test_very_long_lines_take_linear_time(text):
     began = time.perf_counter()
     pii.Finder().spans(text)
     assert time.perf_counter() - began < 20
+
+
+def test_lines_without_spaces_and_with_git_words_are_searched():
+    finder = pii.Finder()
+    kinds = lambda t: {(k, t[a:b]) for a, b, k in finder.spans(t)}
+    assert kinds('{"id":17,"city":"Oslo","phone":"+4915112345678","note":null,"x":[]}') == {("phone", "+4915112345678")}
+    assert kinds('{"id":17,"city":"Oslo","ssn":"123-45-6789","note":null,"x":[1,2]}') == {("id_number", "123-45-6789")}
+    assert kinds("17\tOslo\tNorway\tactive\t(212)555-0147\t2020-01-01\tnone\tnone") == {("phone", "(212)555-0147")}
+    assert kinds("17,Oslo,Norway,active,anna.lee(at)mailhaus.org,2020-01-01,none") == {("email", "anna.lee(at)mailhaus.org")}
+    assert kinds("index of people: call +49 151 1234 5678") == {("phone", "+49 151 1234 5678")}
+    assert kinds("Binary files are sent by anna.lee@mailhaus.org") == {("email", "anna.lee@mailhaus.org")}
+    assert kinds("@@ -1,2 +1,3 @@ call('+49 151 1234 5678')") == {("phone", "+49 151 1234 5678")}
+    assert not kinds("index 9fe1445..f97fde7 100644\n@@ -652,7 +652,7 @@\nBinary files a/x and b/y differ\n")
+    assert not kinds("zcmV+b0" + "Qr7+4915112345678Zk/0049123456789012x" * 3)
