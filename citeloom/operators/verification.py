@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import clean_text, dblp_authors, lit_or_col
+from citeloom.functions.text import dblp_authors
+from citeloom.operators.similarity import similar_sets, word_set
+from citeloom.operators.skew import split_join
+from citeloom.session import materialise
 from citeloom.sources.bibtex import parse_bibtex
 
 # The scores of a hit.
@@ -22,10 +25,10 @@ def _shared(a: Column, b: Column) -> Column:
     return F.size(F.filter(a, lambda w: F.array_contains(b, w)))
 
 
-def match_score(title: Column, year: Column, author: Column, info: Column) -> Column:
-    """Score of a DBLP hit for an entry; every argument but the hit's authors must be present."""
+def match_score(title: Column, year: Column, author: Column, h_title: Column, h_year: Column, h_names: Column) -> Column:
+    """Score of a DBLP hit for an entry; every argument but the hit's names must be present."""
     mine = F.translate(F.lower(title), "{}", "")
-    theirs = F.lower(info["title"])
+    theirs = F.lower(h_title)
     white = r"\p{IsWhite_Space}+"
     titles = (
         F.when(mine == theirs, TITLE_EQUAL)
@@ -33,48 +36,69 @@ def match_score(title: Column, year: Column, author: Column, info: Column) -> Co
         .when(_shared(_words(mine, white), _words(theirs, white)) > SHARED_TITLE_WORDS, TITLE_WORDS)
         .otherwise(0)
     )
-    names = F.array_join(F.filter(F.transform(info["authors"]["author"], lambda a: a["text"]), lambda t: t.isNotNull()), " and ")
     authors = F.when(
-        _shared(_words(author, "[ ~]"), _words(names, "[ ~]")) >= SHARED_AUTHOR_WORDS, AUTHOR_WORDS
+        _shared(_words(author, "[ ~]"), _words(h_names, "[ ~]")) >= SHARED_AUTHOR_WORDS, AUTHOR_WORDS
     ).otherwise(0)
-    return F.when(year == info["year"], YEAR_EQUAL).otherwise(0) + titles + F.coalesce(authors, F.lit(0))
+    return F.when(year == h_year, YEAR_EQUAL).otherwise(0) + titles + F.coalesce(authors, F.lit(0))
 
 
-def best_matches(entries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(key, info, score): the best hit of each entry, the first of equals, if it scores at least ``LEAST_SCORE``.
-
-    ``entries`` has (key, fields), ``hits`` (key, hit_pos, info). Entries lacking title, year or author match nothing,
-    and neither does an entry one of whose hits lacks title or year. Keys must be unique in ``entries``.
-    """
+def _asked(entries: DataFrame, *more: str) -> DataFrame:
+    """key, title, year, author (and ``more``) of the entries that can be searched: those with all three."""
     f = F.col("fields")
-    able = entries.filter(f["title"].isNotNull() & f["year"].isNotNull() & f["author"].isNotNull())
-    scored = able.join(hits, "key").select(
-        "key",
-        "hit_pos",
-        "info",
-        match_score(f["title"], f["year"], f["author"], F.col("info")).alias("score"),
-        (F.col("info").isNull() | F.col("info.title").isNull() | F.col("info.year").isNull()).alias("broken"),
+    names = ("title", "year", "author")
+    return entries.select("key", *more, *[f[x].alias(x) for x in names]).filter(" AND ".join(f"{x} IS NOT NULL" for x in names))
+
+
+def _compared(hits: DataFrame, *ids: str) -> DataFrame:
+    """What a hit is scored by, without the rest of its record."""
+    names = F.filter(F.transform(F.col("info.authors.author"), lambda a: a["text"]), lambda t: t.isNotNull())
+    return hits.select(
+        *ids, F.col("info.title").alias("h_title"), F.col("info.year").alias("h_year"), F.array_join(names, " and ").alias("h_names")
     )
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """(key, hit_pos, score) of the best hit, the first of equals; none if a hit of the entry lacks title or year."""
+    score = match_score(*[F.col(c) for c in ("title", "year", "author", "h_title", "h_year", "h_names")])
+    scored = pairs.select("key", "hit_pos", score.alias("score"), (F.col("h_title").isNull() | F.col("h_year").isNull()).alias("broken"))
     best = scored.groupBy("key").agg(
-        F.max_by(F.struct("info", "score"), F.struct("score", -F.col("hit_pos"))).alias("b"),
-        F.bool_or("broken").alias("broken"),
+        F.max_by(F.struct("hit_pos", "score"), F.struct("score", -F.col("hit_pos"))).alias("b"), F.bool_or("broken").alias("broken")
     )
-    return best.filter(~F.col("broken") & (F.col("b.score") >= LEAST_SCORE)).select("key", "b.info", "b.score")
+    return best.filter(~F.col("broken") & (F.col("b.score") >= LEAST_SCORE)).select("key", "b.hit_pos", "b.score")
 
 
-def search_key(title: Column | str) -> Column:
-    """Block under which a local record table is searched: the first four words of the cleaned title."""
-    words = F.split(clean_text(lit_or_col(title)), "_")
-    return F.when(clean_text(lit_or_col(title)) != "", F.array_join(F.slice(words, 1, 4), "_"))
+def best_matches(entries: DataFrame, hits: DataFrame, on: str = "key") -> DataFrame:
+    """(key, info, score): the best hit of each entry, the first of equals, if it scores at least ``LEAST_SCORE``.
+
+    ``entries`` has (key, fields) and the column ``on``, by which it meets ``hits`` (``on``, hit_pos, info): its key or, for answers that
+    several entries share, its query. Entries lacking title, year or author match nothing, and neither does an entry one of whose
+    hits lacks title or year. Keys must be unique in ``entries``, positions among the hits of one ``on``.
+    """
+    more = () if on == "key" else (on,)
+    best = _best(_asked(entries, *more).join(_compared(hits, on, "hit_pos"), on))
+    named = best if on == "key" else best.join(entries.select("key", on), "key")
+    return named.join(hits.select(on, "hit_pos", "info"), [on, "hit_pos"]).select("key", "info", "score")
+
 
+#: Word-set similarity of the titles from which a record of a local table answers a search.
+SEARCH_SIMILARITY = 0.5
 
-def search(entries: DataFrame, records: DataFrame) -> DataFrame:
-    """(key, hit_pos, info): the local answer to a title search; ``records`` has (hit_id, info), ``hit_pos`` is its id."""
-    mine = entries.select("key", search_key(F.col("fields")["title"]).alias("_block")).filter("_block IS NOT NULL")
-    theirs = records.select(
-        F.col("hit_id").alias("hit_pos"), "info", search_key(F.col("info.title")).alias("_block")
-    ).filter("_block IS NOT NULL")
-    return mine.join(theirs, "_block").select("key", "hit_pos", "info")
+
+def search_matches(entries: DataFrame, records: DataFrame, least: float = SEARCH_SIMILARITY) -> DataFrame:
+    """(key, info, score): ``best_matches`` where a table of (hit_id, info) stands for the search service.
+
+    A record answers an entry if the sets of their title words have a Jaccard similarity of ``least`` or more; all such
+    records are found and scored. Titles are compared once, only keys, titles, years and names are shuffled, and the records of
+    the winners are fetched last. Equal scores go to the smaller ``hit_id``. Titles without a letter or digit match nothing.
+    """
+    asked = materialise(_asked(entries).withColumn("a", word_set("title")).filter("size(a) > 0"), "asked")
+    held = _compared(records, "hit_id").withColumnRenamed("hit_id", "hit_pos").withColumn("b", word_set("h_title")).filter("size(b) > 0")
+    held = materialise(held, "held")
+    near = similar_sets(asked.select(F.col("a").alias("words")), held.select(F.col("b").alias("words")), least)
+    # The records of each title go to the titles like it, and from there to the entries.
+    offered = materialise(near.join(held, "b").drop("b"), "offered")
+    best = _best(split_join(asked, offered, "a"))
+    return best.join(records.select(F.col("hit_id").alias("hit_pos"), "info"), "hit_pos").select("key", "info", "score")
 
 
 def dblp_fields(info: Column) -> Column:
@@ -101,24 +125,31 @@ def merged(fields: Column, verified: Column, source: Column) -> Column:
     return F.when(verified.isNotNull(), tagged).otherwise(fields)
 
 
-def verify(entries: DataFrame, arxiv: DataFrame | None, hits: DataFrame | None) -> DataFrame:
+def verify(
+    entries: DataFrame, arxiv: DataFrame | None, hits: DataFrame | None = None, records: DataFrame | None = None, on: str = "key"
+) -> DataFrame:
     """``entries`` with verified fields: arXiv before DBLP before as it was; key and type never change.
 
-    Input (key, arxiv_id, fields, …) with unique keys; ``arxiv`` has (arxiv_id, bibtex), ``hits`` (key, hit_pos, info).
-    Entries that arXiv answers are not searched in DBLP. Adds ``verified`` (boolean).
+    Input (key, arxiv_id, fields, …) with unique keys; ``arxiv`` has (arxiv_id, bibtex). DBLP is either ``hits`` (``on``, hit_pos,
+    info), the answers to the entries' searches, or ``records`` (hit_id, info), a table to search. Entries that arXiv answers are not
+    searched. Of several answers for one id the first by text counts. Adds ``verified`` (boolean).
     """
+    none = F.lit(None).cast("map<string,string>")
     out = entries
     if arxiv is not None:
-        answers = parse_bibtex(arxiv, "bibtex").select("arxiv_id", F.col("entry.fields").alias("_arxiv"))
-        answers = answers.filter("_arxiv IS NOT NULL").dropDuplicates(["arxiv_id"])
-        out = out.join(answers, "arxiv_id", "left")
+        one = arxiv.groupBy("arxiv_id").agg(F.min("bibtex").alias("bibtex"))
+        answers = parse_bibtex(one, "bibtex").select("arxiv_id", F.col("entry.fields").alias("_arxiv"))
+        out = out.join(answers.filter("_arxiv IS NOT NULL"), "arxiv_id", "left")
     else:
-        out = out.withColumn("_arxiv", F.lit(None).cast("map<string,string>"))
-    if hits is not None:
-        best = best_matches(out.filter("_arxiv IS NULL").select("key", "fields"), hits)
+        out = out.withColumn("_arxiv", none)
+    if hits is not None or records is not None:
+        if arxiv is not None:
+            out = materialise(out, "answered")
+        open_ = out.filter("_arxiv IS NULL")
+        best = best_matches(open_, hits, on) if hits is not None else search_matches(open_, records)
         out = out.join(best.select("key", dblp_fields(F.col("info")).alias("_dblp")), "key", "left")
     else:
-        out = out.withColumn("_dblp", F.lit(None).cast("map<string,string>"))
+        out = out.withColumn("_dblp", none)
     source = F.when(F.col("_arxiv").isNotNull(), "arXiv").otherwise("DBLP")
     chosen = F.coalesce("_arxiv", "_dblp")
     return (

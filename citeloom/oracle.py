@@ -119,8 +119,8 @@ _AUTHORS = (
 _PLAIN_AUTHORS = rf"array_to_string(list_transform({_AUTHORS}, lambda n: regexp_replace(n, '\s+\p{{N}}+$', '')), ' and ')"
 
 
-def block(title: str) -> str:
-    return f"nullif(array_to_string(string_split({clean(title)}, '_')[1:4], '_'), '')"
+def word_set(title: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({clean(title)}, '_'), lambda w: w <> '')))"
 
 
 def shared(a: str, b: str) -> str:
@@ -132,12 +132,16 @@ def words(x: str, sep: str) -> str:
 
 
 _MATCH = rf"""
-ents AS (SELECT entry_id, fields, {_ARXIV} AS arxiv_id, {block(TITLE)} AS blk FROM bib),
-hits AS (SELECT hit_id, info, {block('info.title')} AS blk FROM dblp),
+ents AS (SELECT entry_id, fields, {_ARXIV} AS arxiv_id, {word_set(TITLE)} AS ws FROM bib),
+hits AS (SELECT hit_id, info, {word_set('info.title')} AS hs FROM dblp),
+able AS (SELECT * FROM ents WHERE {TITLE} IS NOT NULL AND {YEAR} IS NOT NULL AND {AUTHOR} IS NOT NULL AND len(ws) > 0),
+near AS (
+  SELECT ws, hs FROM (SELECT DISTINCT ws FROM able) a JOIN (SELECT DISTINCT hs FROM hits WHERE len(hs) > 0) b
+  ON 3 * len(list_intersect(ws, hs)) >= len(ws) + len(hs)),
 pairs AS (
   SELECT entry_id, hit_id, info, arxiv_id, {YEAR} AS y, {AUTHOR} AS a, replace(replace(lower({TITLE}), '{{', ''), '}}', '') AS t,
          lower(info.title) AS h, array_to_string({_AUTHORS}, ' and ') AS names
-  FROM ents JOIN hits USING (blk) WHERE {TITLE} IS NOT NULL AND {YEAR} IS NOT NULL AND {AUTHOR} IS NOT NULL),
+  FROM able JOIN near USING (ws) JOIN hits USING (hs)),
 scored AS (
   SELECT entry_id, hit_id, info, arxiv_id, (info.title IS NULL OR info.year IS NULL) AS broken,
     (CASE WHEN y = info.year THEN 1 ELSE 0 END

@@ -127,9 +127,7 @@ def _entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dblp_best_match(spark: SparkSession, folder: str) -> DataFrame:
-    entries = _entries(spark, folder)
-    hits = verification.search(entries, table(spark, folder, "dblp"))
-    best = verification.best_matches(entries, hits)
+    best = verification.search_matches(_entries(spark, folder), table(spark, folder, "dblp"))
     return best.select(F.col("key").alias("entry_id"), F.col("info.url").alias("url"), "score")
 
 
@@ -174,8 +172,7 @@ def bibtex_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def _verified(spark: SparkSession, folder: str) -> DataFrame:
     entries = _entries(spark, folder)
-    hits = verification.search(entries, table(spark, folder, "dblp"))
-    return verification.verify(entries, arxiv_answers(spark, folder), hits)
+    return verification.verify(entries, arxiv_answers(spark, folder), records=table(spark, folder, "dblp"))
 
 
 def verify_merge(spark: SparkSession, folder: str) -> DataFrame:
