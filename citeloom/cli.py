@@ -1,4 +1,4 @@
-"""Command line: ``python -m citeloom.cli -p ID [ID ...] --mirror FOLDER --arxiv TABLE [-o OUTPUT]``."""
+"""Command line: ``python -m citeloom.cli -p ID [ID ...] [--mirror FOLDER] [--arxiv TABLE] [--dblp TABLE] [-o OUTPUT]``."""
 
 from __future__ import annotations
 
@@ -7,12 +7,9 @@ import logging
 import sys
 from pathlib import Path
 
+from citeloom.api import extract_survey
 from citeloom.config import Options
 from citeloom.errors import ExtractError
-from citeloom.plans.pipeline import extract_survey
-from citeloom.session import get_spark
-from citeloom.sources import fetch
-from citeloom.sources.archive import paper_list, read_mirror
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,10 +19,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("--mirror", help="folder of archives named by id; without it they are downloaded")
     p.add_argument("--arxiv", help="parquet table (arxiv_id, bibtex); without it it is downloaded")
-    p.add_argument("--permissive", action="store_true")
+    p.add_argument("--dblp", help="parquet table of answers (query, json) or records (hit_id, info); without it DBLP is asked")
+    p.add_argument("--offline", action="store_true", help="download nothing: entries without a table to verify them stay as they are")
+    p.add_argument("--permissive", action="store_true", help="papers that fail do not stop the others")
     return p
 
 
+def options_of(a: argparse.Namespace) -> Options:
+    given = {"mirror": a.mirror, "arxiv_table": a.arxiv, "dblp_table": a.dblp, "offline": a.offline, "permissive": a.permissive}
+    return Options(**{k: v for k, v in given.items() if v})
+
+
 def write_outputs(result: dict[str, str], output: str | None) -> None:
     if output:
         Path(output).with_suffix(".tex").write_text(result["survey_text"], encoding="utf-8")
@@ -38,14 +42,8 @@ def write_outputs(result: dict[str, str], output: str | None) -> None:
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.WARNING)
-    spark = get_spark()
-    options = Options(permissive=a.permissive)
-    papers = paper_list(spark, a.paper_ids)
-    archives = read_mirror(spark, a.mirror) if a.mirror else fetch.archives(papers, options)
-    ids = papers.selectExpr("paper_id AS arxiv_id")
-    arxiv = spark.read.parquet(a.arxiv) if a.arxiv else fetch.bibtex(ids, options)
     try:
-        write_outputs(extract_survey(spark, a.paper_ids, archives, arxiv, options=options), a.output)
+        write_outputs(extract_survey(a.paper_ids, options_of(a)), a.output)
     except ExtractError as cause:
         logging.error("%s", cause)
         return 1

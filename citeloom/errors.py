@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class ExtractError(Exception):
     """Base of all errors of this library; also the one for unforeseen failures."""
@@ -45,8 +47,30 @@ class ApiError(ExtractError):
     prefix = "API error"
 
 
+#: Exceptions of other libraries, by name, and the errors they become.
+_FOREIGN = {
+    "JSONDecodeError": JsonParsingError, "BadZipFile": ArchiveError, "ReadError": ArchiveError, "CompressionError": ArchiveError,
+    "EOFError": ArchiveError, "BadGzipFile": ArchiveError, "UnicodeDecodeError": SourceIOError, "FileNotFoundError": SourceIOError,
+    "PermissionError": SourceIOError, "OSError": SourceIOError, "URLError": NetworkError, "HTTPError": ApiError, "TimeoutError": NetworkError,
+}
+_LAST_LINE = re.compile(r"^(?:[\w.]+\.)?(\w+)(?:: (.*))?$", re.M)
+
+
+def _of_task(text: str) -> ExtractError | None:
+    """The error that a task's traceback ends with, as Spark passes it on in its own error's text."""
+    own = {c.__name__: c for c in ExtractError.__subclasses__()}
+    for name, detail in reversed(_LAST_LINE.findall(text)):
+        if name in own:
+            kind, prefix = own[name], own[name].prefix
+            rest = detail.removeprefix(prefix).removeprefix(": ")
+            return kind(rest) if rest else kind()
+        if name in _FOREIGN:
+            return _FOREIGN[name](detail)
+    return None
+
+
 def wrapped(cause: Exception) -> ExtractError:
-    """The library's error for any exception; its own errors stay as they are."""
+    """The library's error for any exception; its own errors stay as they are, those raised in tasks come back as what they were."""
     import json
     import zipfile
 
@@ -58,4 +82,4 @@ def wrapped(cause: Exception) -> ExtractError:
         return ArchiveError(str(cause))
     if isinstance(cause, OSError):
         return SourceIOError(str(cause))
-    return ExtractError()
+    return ("Traceback" in str(cause) and _of_task(str(cause))) or ExtractError()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import clean_title, lit_or_col, nonempty, trim_ws
+from citeloom.functions.text import UNICODE, clean_title, lit_or_col, nonempty, trim_ws
 
 # Fixed values.
 ITEM_HEAD = r"\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}"
@@ -21,7 +21,7 @@ def bibliography_items(text: Column | str) -> Column:
     text = lit_or_col(text)
     body = F.element_at(F.split(text, r"\\begin\{thebibliography\}", 2), 2)
     body = F.element_at(F.split(body, r"\\end\{thebibliography\}", 2), 1)
-    body = F.regexp_replace(body, r"\\bibitem(\[[^\]]*\])?%\s*\n\s*", r"\\bibitem$1")
+    body = F.regexp_replace(body, UNICODE + r"\\bibitem(\[[^\]]*\])?%\s*\n\s*", r"\\bibitem$1")
     parts = F.split(body, r"(?=\\bibitem(?:\[[^\]]*\])?\{[^}]+\})")
     items = F.filter(parts, lambda p: p.rlike("^" + ITEM_HEAD))
     has = text.contains(r"\begin{thebibliography}")
@@ -84,7 +84,7 @@ def item_author(item: Column | str) -> Column:
 
 
 def item_year(item: Column | str) -> Column:
-    return nonempty(F.regexp_extract(lit_or_col(item), YEAR, 1))
+    return nonempty(F.regexp_extract(lit_or_col(item), UNICODE + YEAR, 1))
 
 
 def item_title(item: Column | str) -> Column:

@@ -35,6 +35,8 @@ SIGNIFICANT_BYTES = 3
 SIGNIFICANT_WORDS = 3
 
 WS = r"\p{IsWhite_Space}"
+#: Makes ``\s``, ``\d`` and ``\b`` of a pattern those of Unicode.
+UNICODE = "(?U)"
 NOT_WORD = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]"
 
 
@@ -87,7 +89,7 @@ def normalize_citation_key(author: Column | str, title: Column | str, year: Colu
 def extract_arxiv_id(fields: Column | str, key: Column | str) -> Column:
     """First arXiv id in title, journal, note, raw; else the key itself when it is one; else NULL."""
     fields, key = lit_or_col(fields), lit_or_col(key)
-    tries = [nonempty(F.regexp_extract(fields[f], ARXIV_IN_TEXT, 1)) for f in ARXIV_FIELDS]
+    tries = [nonempty(F.regexp_extract(fields[f], UNICODE + ARXIV_IN_TEXT, 1)) for f in ARXIV_FIELDS]
     return F.coalesce(*tries, nonempty(F.regexp_extract(key, ARXIV_AS_KEY, 1)))
 
 

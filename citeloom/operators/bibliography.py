@@ -13,22 +13,21 @@ ENTRY_TYPE = "article"
 ORDER = ("ord", "file_ord", "pos")
 
 
-def parse_bbl(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """Entries of ``.bbl`` texts: input (ord, file_ord, content), output the ``bib`` schema.
+def parse_bbl(files: DataFrame, options: Options | None = None, ids: tuple[str, ...] = ("ord", "file_ord")) -> DataFrame:
+    """Entries of ``.bbl`` texts: input ``ids`` and content, output the ``bib`` schema.
 
     Texts without a ``thebibliography`` environment and NULL texts give no entry; further columns are dropped. One file
     is parsed in one task, as it is one string; files are independent.
     """
     options = options or Options()
-    items = files.select("ord", "file_ord", F.posexplode(bbl.bibliography_items("content")).alias("pos", "item"))
+    items = files.select(*ids, F.posexplode(bbl.bibliography_items("content")).alias("pos", "item"))
     item = F.col("item")
     if options.fix_label_lines:  # the label of an item goes onto one line
         label = F.regexp_extract(item, "^" + bbl.ITEM_HEAD, 0)
         behind = F.substring(item, F.length(label) + 1, F.length(item))
         item = F.concat(F.regexp_replace(label, r"\s*\n\s*", " "), behind)
     return items.select(
-        "ord",
-        "file_ord",
+        *ids,
         "pos",
         bbl.item_key(item).alias("key"),
         F.lit(ENTRY_TYPE).alias("entry_type"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,20 @@ def _commands(text: Column, extended: bool) -> Column:
     return F.arrays_zip(whole.alias("old"), inner.alias("inner"))
 
 
-def rewrite(sections: DataFrame, keys: DataFrame, row_id: str, extended_cites: bool = False) -> DataFrame:
+def rewrite(sections: DataFrame, keys: DataFrame, row_id: str | Sequence[str], extended_cites: bool = False) -> DataFrame:
     """Adds ``normalized``: ``content`` with every known cite key replaced; unknown keys stay, spacing becomes ``, ``.
 
     The replacements of a text are applied one after the other to the evolving text, in text order. Only (row, key)
-    pairs are shuffled to find the new keys, keys that many rows cite are broadcast; ``row_id`` must be unique. NULL
-    content stays NULL. A column of the name ``normalized`` would be overwritten.
+    pairs are shuffled to find the new keys, keys that many rows cite are broadcast, and texts without a citation never move.
+    ``row_id`` (a column or several) must be unique. NULL content stays NULL. A column of the name ``normalized`` would be overwritten.
     """
+    row = F.struct(*([row_id] if isinstance(row_id, str) else row_id))
+    pattern = cite_pattern(EXTENDED_CITE_COMMANDS if extended_cites else CITE_COMMANDS)
+    citing = F.coalesce(F.col("content").rlike(pattern), F.lit(False))
+    plain = sections.filter(~citing).withColumn("normalized", F.col("content"))
+    texts = sections.filter(citing)
     uses = (
-        sections.select(F.col(row_id).alias("_row"), F.posexplode(_commands(F.col("content"), extended_cites)).alias("_at", "c"))
+        texts.select(row.alias("_row"), F.posexplode(_commands(F.col("content"), extended_cites)).alias("_at", "c"))
         .select("_row", "_at", F.col("c.old").alias("_old"), F.posexplode(split_keys(F.col("c.inner"))).alias("_k", "key"))
     )
     uses = materialise(uses, "citations")  # read three times below; far smaller than the texts
@@ -51,10 +58,8 @@ def rewrite(sections: DataFrame, keys: DataFrame, row_id: str, extended_cites: b
         .agg(F.array_sort(F.collect_list("_s")).alias("_swaps"))
     )
     folded = F.aggregate("_swaps", F.col("content"), lambda acc, s: F.replace(acc, s["_old"], s["_text"]))
-    joined = sections.join(swaps, sections[row_id] == swaps["_row"], "left")
-    return joined.withColumn("normalized", F.when(F.col("_swaps").isNull(), F.col("content")).otherwise(folded)).drop(
-        "_row", "_swaps"
-    )
+    joined = texts.withColumn("_row", row).join(swaps, "_row")  # every citing text has a swap
+    return joined.withColumn("normalized", folded).drop("_row", "_swaps").select(*plain.columns).unionByName(plain)
 
 
 def rewrite_with_map(content: Column | str, mapping: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import cite_keys, is_related_title, trim_ws
+from citeloom.functions.text import UNICODE, cite_keys, is_related_title, trim_ws
 
+# How the title of a section begins; STARRED_TITLE also takes the star and the short title.
 TITLE = r"^\s*\{([^}]*)\}"
 STARRED_TITLE = r"^\*?(?:\s*\[[^\]]*\])?\s*\{([^}]*)\}"
 
@@ -24,7 +25,7 @@ def extract_sections(latex: DataFrame, starred: bool = False, extended_cites: bo
     in a related section is listed twice. Titles end at the first ``}``. ``pos`` counts all parts of a kind. NULL and
     empty documents give none.
     """
-    pattern = STARRED_TITLE if starred else TITLE
+    pattern = UNICODE + (STARRED_TITLE if starred else TITLE)
     found = None
     for kind in ("section", "subsection"):
         parts = latex.select("ord", "paper_id", F.posexplode(_parts(F.col("latex"), kind)).alias("pos", "part"))

@@ -75,7 +75,9 @@ def best_matches(entries: DataFrame, hits: DataFrame, on: str = "key") -> DataFr
     hits lacks title or year. Keys must be unique in ``entries``, positions among the hits of one ``on``.
     """
     more = () if on == "key" else (on,)
-    best = _best(_asked(entries, *more).join(_compared(hits, on, "hit_pos"), on))
+    asked, compared = _asked(entries, *more), _compared(hits, on, "hit_pos")
+    # A search that many entries share holds many rows; a key holds one.
+    best = _best(split_join(materialise(asked, "searched"), materialise(compared, "hits"), on) if more else asked.join(compared, on))
     named = best if on == "key" else best.join(entries.select("key", on), "key")
     return named.join(hits.select(on, "hit_pos", "info"), [on, "hit_pos"]).select("key", "info", "score")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from citeloom.functions import text
+
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 
 
@@ -38,14 +40,11 @@ AUTHOR, TITLE, YEAR, RAW = (_F.format(x) for x in ("author", "title", "year", "r
 _KEY = norm_key(AUTHOR, TITLE, YEAR)
 
 _ARXIV = "coalesce(" + ", ".join(
-    nonempty(rf"regexp_extract({_F.format(f)}, 'arXiv:?\s*([0-9]+\.[0-9]+)', 1)") for f in ("title", "journal", "note", "raw")
+    nonempty(rf"regexp_extract({_F.format(f)}, 'arXiv:?{_WS}*([0-9]+\.[0-9]+)', 1)") for f in ("title", "journal", "note", "raw")
 ) + r", nullif(regexp_extract(key, '^([0-9]{4}\.[0-9]+)$', 1), ''))"
 
-_CITE = r"\\(?:cite|citep|citet|citealp|citeauthor)\{([^}]+)\}"
-_PHRASES = (
-    "related work|background|literature review|prior work|previous work|state of the art|comparative analysis|context|"
-    "existing work|existing approaches|existing methods|review of the literature|previous approaches|foundation"
-)
+_CITE = text.cite_pattern()
+_PHRASES = "|".join(text.RELATED_PHRASES)
 
 
 def keys_of(x: str) -> str:
@@ -87,10 +86,12 @@ FROM (SELECT ord, string_split(latex, '\{kind}')[2:] AS ps FROM docs)
 """
 
 
+_HEAD = "^" + _WS + r"*\{([^}]*)\}"
+
 _SECTIONS = rf"""
 WITH docs AS ({_DOCS}), parts AS ({_parts('section')} UNION ALL {_parts('subsection')}),
-t AS (SELECT *, {trim("regexp_extract(part, '^\\s*\\{([^}]*)\\}', 1)".replace(chr(92) * 2, chr(92)))} AS title,
-             {trim("regexp_replace(part, '^\\s*\\{[^}]*\\}', '')".replace(chr(92) * 2, chr(92)))} AS content FROM parts)
+t AS (SELECT *, {trim(f"regexp_extract(part, '{_HEAD}', 1)")} AS title,
+             {trim(f"regexp_replace(part, '{_HEAD}', '')")} AS content FROM parts)
 SELECT ord, kind, pos::INTEGER AS pos, title, md5(content) AS content_md5, array_to_string({keys_of('content')}, '|') AS citations
 FROM t WHERE regexp_matches(lower(title), '{_PHRASES}')
 """

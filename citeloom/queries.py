@@ -232,9 +232,8 @@ def paper_metadata(spark: SparkSession, folder: str) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Related sections of every paper with citations rewritten against the consolidated bibliography."""
     found = sections.extract_sections(latex_documents(spark, folder))
-    found = found.withColumn("row", F.xxhash64("ord", "paper_id", "kind", "pos"))
     bib = bibliography.consolidate(table(spark, folder, "bib"), tie=TIE)
-    done = citations.rewrite(found, citations.key_map(bib), "row")
+    done = citations.rewrite(found, citations.key_map(bib), ("ord", "paper_id", "kind", "pos"))
     return done.select("ord", "paper_id", "kind", "pos", "title", "normalized")
 
 

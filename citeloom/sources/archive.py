@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from citeloom.errors import ApiError, NoPaperIdsProvided
 from citeloom.schemas import PAPERS_IN
+from citeloom.sources.latex_source import includes
 
 TEXT_SUFFIXES = ("tex", "bbl")
 
@@ -50,30 +51,49 @@ def unpack(content: bytes) -> list[tuple[str, bytes]]:
     return out
 
 
+def text_members(content: bytes) -> list[tuple[str, str]]:
+    """(path, text) of an archive's ``.tex`` and ``.bbl`` files, and of files of any other name that those include."""
+    members = dict(unpack(content))
+    texts = {p: data.decode("utf-8") for p, data in members.items() if p.rpartition(".")[2] in TEXT_SUFFIXES}
+    waiting = list(texts)
+    while waiting:
+        for name in includes(texts[waiting.pop()]):
+            path = posixpath.normpath(name)
+            if path in members and path not in texts:
+                texts[path] = members[path].decode("utf-8")
+                waiting.append(path)
+    return list(texts.items())
+
+
 def read_files(archives: DataFrame, permissive: bool = False) -> DataFrame:
-    """``files`` rows (with ``error``) of (ord, paper_id, content): decoded ``.tex`` and ``.bbl`` members only.
+    """(paper_id, source, path, content, error) of (paper_id, content): the decoded texts of each archive.
 
-    A member that is not UTF-8 and an archive that cannot be read stop the job, or with ``permissive`` give one row
-    with an ``error`` and no content. Archives are not written to disk. A missing archive (NULL) counts as unreadable.
+    Kept are ``.tex`` and ``.bbl`` members and whatever else they include; figures never leave the task that reads the archive, and
+    no archive is shuffled. ``source`` is a checksum, so that files of two archives of one paper can be told apart (``one_archive``). A text
+    that is not UTF-8 and an archive that cannot be read stop the job, or with ``permissive`` give one row with an ``error`` and no
+    content. Archives are not written to disk. A missing archive (NULL) counts as unreadable.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["ord", "paper_id", "path", "content", "error"]
+        columns = ["paper_id", "source", "path", "content", "error"]
         for pdf in batches:
             rows: list[tuple] = []
-            for o, paper, content in zip(pdf["ord"], pdf["paper_id"], pdf["content"]):
+            for paper, source, content in zip(pdf["paper_id"], pdf["source"], pdf["content"]):
                 try:
-                    found = []
-                    for path, data in unpack(bytes(content) if content is not None else b""):
-                        if path.rpartition(".")[2] in TEXT_SUFFIXES:
-                            found.append((o, paper, path, data.decode("utf-8"), None))
-                    rows += found
+                    found = text_members(bytes(content) if content is not None else b"")
+                    rows += [(paper, source, path, text, None) for path, text in found]
                 except Exception as cause:  # noqa: BLE001 - any broken archive
                     if not permissive:
                         raise
-                    rows.append((o, paper, None, None, f"{type(cause).__name__}: {cause}"))
+                    rows.append((paper, source, None, None, f"{type(cause).__name__}: {cause}"))
             yield pd.DataFrame(rows, columns=columns)
 
-    return archives.select("ord", "paper_id", "content").mapInPandas(
-        read, "ord int, paper_id string, path string, content string, error string"
-    )
+    summed = archives.select("paper_id", F.coalesce(F.md5("content"), F.lit("")).alias("source"), "content")
+    return summed.mapInPandas(read, "paper_id string, source string, path string, content string, error string")
+
+
+def one_archive(files: DataFrame) -> DataFrame:
+    """``read_files`` rows of one archive a paper: of several the readable one of the smallest checksum."""
+    rank = F.struct(F.col("error").isNotNull().alias("bad"), F.col("source"))
+    chosen = files.groupBy("paper_id").agg(F.min(rank)["source"].alias("source"))
+    return files.join(chosen, ["paper_id", "source"]).dropDuplicates(["paper_id", "path"]).drop("source")

@@ -14,13 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from citeloom.config import Options
-from citeloom.errors import ApiError
+from citeloom.errors import ApiError, ExtractError, NetworkError
 
 # The retry schedule, in seconds.
 FIRST_WAIT, LONGEST_WAIT, GROWTH = 0.1, 5.0, 1.5
-#: Requests in flight for verification.
-CONCURRENCY = 8
-
 Get = Callable[[str], bytes]
 
 
@@ -47,41 +44,58 @@ def retried(action: Callable[[], object], budget: float, sleep: Callable[[float]
 def fetch_archive(paper_id: str, options: Options, get: Get = http_get) -> bytes:
     """A paper's source archive; one attempt, any failure and an empty body are errors."""
     url = f"{options.arxiv_base_url}/e-print/{paper_id}"
-    try:
-        body = get(url)
-    except (urllib.error.URLError, OSError) as cause:
-        raise ApiError(f"Failed to download {paper_id}: {cause}") from cause
+    body = _once(url, paper_id, get)
     if not body:
         raise ApiError(f"Empty response for {paper_id}")
     return body
 
 
+def _once(url: str, what: str, get: Get) -> bytes:
+    try:
+        return get(url)
+    except urllib.error.HTTPError as cause:
+        raise ApiError(f"Failed to download {what}: HTTP {cause.code}") from cause
+    except OSError as cause:  # no answer at all
+        raise NetworkError(f"{what}: {cause}") from cause
+
+
+def fetch_metadata(paper_id: str, options: Options, get: Get = http_get) -> str | None:
+    """arXiv's description of a paper; one attempt. A failure is an error, or None with ``permissive``."""
+    try:
+        return _once(f"{options.arxiv_base_url}/bibtex/{paper_id}", f"BibTeX of {paper_id}", get).decode("utf-8", "replace")
+    except ExtractError:
+        if options.permissive:
+            return None
+        raise
+
+
 def fetch_bibtex(arxiv_id: str, options: Options, get: Get = http_get, sleep=time.sleep) -> str | None:
-    """arXiv's BibTeX of a paper, None once the retries are used up."""
+    """arXiv's BibTeX of a paper, None once the retries are used up or where the answer is no entry (which is not asked for again)."""
 
     def once() -> str:
-        text = get(f"{options.arxiv_base_url}/bibtex/{arxiv_id}").decode("utf-8")
-        if not all(x in text for x in ("@", "author", "title")):
-            raise ApiError("not BibTeX")
-        return text
+        return get(f"{options.arxiv_base_url}/bibtex/{arxiv_id}").decode("utf-8")
 
-    return retried(once, options.api_timeout_secs, sleep)
+    text = retried(once, options.api_timeout_secs, sleep)
+    return text if text is not None and all(x in text for x in ("@", "author", "title")) else None
 
 
-def fetch_dblp(title: str | None, options: Options, get: Get = http_get, sleep=time.sleep) -> str | None:
-    """DBLP's JSON answer to a title search, None without a title, without hits and once the retries are used up."""
-    if not title:
+def fetch_dblp(query: str | None, options: Options, get: Get = http_get, sleep=time.sleep) -> str | None:
+    """DBLP's JSON answer to a search (``dblp_query`` of a title), None without one, without hits and once the retries are used up."""
+    if not query:
         return None
-    query = title.translate(str.maketrans("", "", "{}*")).replace(" ", "+")
 
-    def once() -> str:
+    def once() -> tuple[str, object]:
         text = get(f"{options.dblp_base_url}/search/publ/api?q={urllib.parse.quote(query, safe='+')}&format=json").decode("utf-8")
-        hits = json.loads(text)["result"]["hits"]
-        if int(hits["@total"]) <= 0 or not hits.get("hit"):
-            raise ApiError("no hits")
-        return text
+        return text, json.loads(text)
 
-    return retried(once, options.api_timeout_secs, sleep)
+    answer = retried(once, options.api_timeout_secs, sleep)
+    if answer is None:
+        return None
+    try:
+        hits = answer[1]["result"]["hits"]
+        return answer[0] if int(hits["@total"]) > 0 and hits["hit"] else None
+    except (KeyError, TypeError, ValueError):
+        return None
 
 
 def _fetched(df: DataFrame, key: str, value: str, kind: str, fetch: Callable[[str], object], tasks: int) -> DataFrame:
@@ -90,19 +104,25 @@ def _fetched(df: DataFrame, key: str, value: str, kind: str, fetch: Callable[[st
             yield pd.DataFrame({key: pdf[key], value: [fetch(k) for k in pdf[key]]})
 
     field = df.schema[key].dataType.simpleString()
+    # As many tasks as requests may be in flight: each asks for its share one after the other.
     return df.select(key).distinct().repartition(tasks, key).mapInPandas(run, f"{key} {field}, {value} {kind}")
 
 
 def archives(papers: DataFrame, options: Options, get: Get = http_get) -> DataFrame:
     """(paper_id, content) of the papers' archives, one download each."""
-    return _fetched(papers, "paper_id", "content", "binary", lambda p: fetch_archive(p, options, get), CONCURRENCY)
+    return _fetched(papers, "paper_id", "content", "binary", lambda p: fetch_archive(p, options, get), options.requests)
 
 
 def bibtex(ids: DataFrame, options: Options, get: Get = http_get) -> DataFrame:
     """``arxiv`` rows (arxiv_id, bibtex); write them as a table, so that no id is asked for twice."""
-    return _fetched(ids, "arxiv_id", "bibtex", "string", lambda i: fetch_bibtex(i, options, get), CONCURRENCY)
+    return _fetched(ids, "arxiv_id", "bibtex", "string", lambda i: fetch_bibtex(i, options, get), options.requests)
+
+
+def metadata(ids: DataFrame, options: Options, get: Get = http_get) -> DataFrame:
+    """(arxiv_id, bibtex) of the papers themselves."""
+    return _fetched(ids, "arxiv_id", "bibtex", "string", lambda i: fetch_metadata(i, options, get), options.requests)
 
 
-def dblp(titles: DataFrame, options: Options, get: Get = http_get) -> DataFrame:
-    """(title, json) answers for distinct titles."""
-    return _fetched(titles, "title", "json", "string", lambda t: fetch_dblp(t, options, get), CONCURRENCY)
+def dblp(queries: DataFrame, options: Options, get: Get = http_get) -> DataFrame:
+    """(query, json) answers for distinct searches."""
+    return _fetched(queries, "query", "json", "string", lambda q: fetch_dblp(q, options, get), options.requests)

@@ -10,14 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import nonempty, truncate_bytes
+from citeloom.functions.text import UNICODE, trim_ws, truncate_bytes
 
 # Fixed values.
 ROOT_NAMES = ("main.tex", "paper.tex", "article.tex", "manuscript.tex")
 UNKNOWN_TITLE, UNKNOWN_AUTHORS = "Unknown Title", "Unknown Authors"
 DEEPEST = 2
+INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
+METADATA = r"\s*=\s*\{([\s\S]*?)\}"
 
-_INCLUDE = re.compile(r"\\(?:input|include)\{([^}]+)\}")
+_INCLUDE = re.compile(INCLUDE)
+
+
+def includes(text: str) -> list[str]:
+    """The names that a text includes, in order."""
+    return _INCLUDE.findall(text)
 
 
 def main_files(files: DataFrame) -> DataFrame:
@@ -35,7 +42,12 @@ def main_files(files: DataFrame) -> DataFrame:
 
 def expand(texts: dict[str, str], root: str) -> str:
     """The text of ``root`` with each included file put in once, depth first; other references become nothing."""
-    done: set[str] = set()
+    return expand_listed(texts, root)[0]
+
+
+def expand_listed(texts: dict[str, str], root: str) -> tuple[str, list[str]]:
+    """``expand`` and the paths of the included files, in the order in which they are met (the root is not one)."""
+    done: dict[str, None] = {}
 
     def find(name: str) -> str | None:
         path = posixpath.normpath(name)
@@ -48,7 +60,7 @@ def expand(texts: dict[str, str], root: str) -> str:
     stack: list[tuple[str, Iterator[re.Match], int]] = []
 
     def enter(path: str) -> None:
-        done.add(path)
+        done[path] = None
         stack.append((path, _INCLUDE.finditer(texts[path]), 0))
 
     enter(root)
@@ -63,11 +75,11 @@ def expand(texts: dict[str, str], root: str) -> str:
         target = find(m.group(1))
         if target is not None and target not in done:
             enter(target)
-    return "".join(out)
+    return "".join(out), list(done)[1:]
 
 
 def expand_includes(files: DataFrame) -> DataFrame:
-    """(ord, paper_id, latex): the expanded root document of every paper that has one.
+    """(ord, paper_id, latex, included): the expanded root document of every paper that has one, and the files it took in.
 
     References are resolved among the paper's own files only. All files of a paper meet in one task; a paper is
     bounded by its archive.
@@ -78,12 +90,13 @@ def expand_includes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            latex = [
-                expand({f["path"]: f["content"] for f in found}, root) for found, root in zip(pdf["files"], pdf["root"])
+            done = [
+                expand_listed({f["path"]: f["content"] for f in found}, root) for found, root in zip(pdf["files"], pdf["root"])
             ]
-            yield pd.DataFrame({"ord": pdf["ord"], "paper_id": pdf["paper_id"], "latex": latex})
+            out = pdf[["ord", "paper_id"]]
+            yield out.assign(latex=[text for text, _ in done], included=[paths for _, paths in done])
 
-    return rows.mapInPandas(run, "ord int, paper_id string, latex string")
+    return rows.mapInPandas(run, "ord int, paper_id string, latex string, included array<string>")
 
 
 def bbl_files(files: DataFrame) -> DataFrame:
@@ -94,19 +107,24 @@ def bbl_files(files: DataFrame) -> DataFrame:
 
 
 def _metadata_field(bibtex: Column, name: str, default: str) -> Column:
-    value = F.regexp_extract(bibtex, name + r"\s*=\s*\{([\s\S]*?)\}", 1)
-    return F.coalesce(nonempty(truncate_bytes(value)), F.lit(default))
+    """The value, trimmed and cut; an empty value stays empty, as only a missing one has a default."""
+    pattern = UNICODE + name + METADATA
+    value = F.when(bibtex.rlike(pattern), trim_ws(F.regexp_extract(bibtex, pattern, 1)))
+    return F.coalesce(truncate_bytes(value), F.lit(default))
 
 
-def with_metadata(papers: DataFrame, arxiv: DataFrame) -> DataFrame:
+def with_metadata(papers: DataFrame, arxiv: DataFrame | None) -> DataFrame:
     """``papers`` (ord, paper_id) with title and authors from the arXiv BibTeX table (arxiv_id, bibtex).
 
-    Values over 100 bytes are cut; missing ones get the usual defaults.
+    Values over 100 bytes are cut; missing ones get the usual defaults. ``described`` is false where the table has no text at all.
     """
+    if arxiv is None:
+        arxiv = papers.select(F.col("paper_id").alias("arxiv_id"), F.lit(None).cast("string").alias("bibtex"))
     one = arxiv.groupBy(F.col("arxiv_id").alias("paper_id")).agg(F.min("bibtex").alias("bibtex"))
     return papers.join(one, "paper_id", "left").select(
         "ord",
         "paper_id",
         _metadata_field(F.col("bibtex"), "title", UNKNOWN_TITLE).alias("title"),
         _metadata_field(F.col("bibtex"), "author", UNKNOWN_AUTHORS).alias("authors"),
+        F.col("bibtex").isNotNull().alias("described"),
     )

@@ -26,29 +26,24 @@ def watch(spark: SparkSession, folder: str, files_per_batch: int = 200) -> DataF
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Writes ``sections`` and ``bib`` rows of arriving archives below ``out``, a folder per batch.
+    """Writes ``files``, ``sections`` and ``bib`` rows of arriving archives below ``out``, a folder per batch.
 
     A batch that is run again after a failure overwrites its own folder, so every archive counts once. Broken
     archives go to ``errors`` and stop nothing. Papers have ``ord`` 0 within a batch; merge by ``paper_id``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        files = archive.read_files(batch.withColumn("ord", F.lit(0)), permissive=True).persist()
-        try:
-            good = files.filter("error IS NULL")
-            found = sections.extract_sections(latex_source.expand_includes(good))
-            found.write.mode("overwrite").parquet(f"{out}/sections/batch={number}")
-            bbl = latex_source.bbl_files(good)
-            items = bbl.select("paper_id", "file_ord", "content", F.xxhash64("paper_id", "file_ord").alias("ord"))
-            entries = bibliography.parse_bbl(items)
-            named = entries.join(items.select("ord", "paper_id"), "ord").drop("ord")
-            named.write.mode("overwrite").parquet(f"{out}/bib/batch={number}")
-            bad = files.filter("error IS NOT NULL").select("paper_id", "error")
-            bad.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
-        finally:
-            files.unpersist()
-            batch.unpersist()
+        # The texts are written, not kept by executors: archives are unpacked once even if an executor is lost.
+        files = f"{out}/files/batch={number}"
+        archive.one_archive(archive.read_files(batch, permissive=True)).write.mode("overwrite").parquet(files)
+        read = batch.sparkSession.read.parquet(files).withColumn("ord", F.lit(0))
+        good = read.filter("error IS NULL")
+        found = sections.extract_sections(latex_source.expand_includes(good))
+        found.write.mode("overwrite").parquet(f"{out}/sections/batch={number}")
+        entries = bibliography.parse_bbl(latex_source.bbl_files(good), ids=("paper_id", "file_ord"))
+        entries.write.mode("overwrite").parquet(f"{out}/bib/batch={number}")
+        bad = read.filter("error IS NOT NULL").select("paper_id", "error")
+        bad.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,10 +2,12 @@
 
 import io
 import json
+import sys
 import tarfile
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from citeloom import errors
@@ -18,6 +20,8 @@ from citeloom.sources.bibtex import parse_entry
 from citeloom.sources.dblp import read_hits
 from citeloom.tool import survey_message
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stand-ins for services run in tasks
+
 DOC = r"""\documentclass{article}
 \section{Introduction} hello \cite{x}
 \section{Related Work}
@@ -171,10 +175,9 @@ def zipped(files):
 def test_archives(spark):
     files = {"main.tex": b"x", "sub/a.bbl": "é".encode(), "fig.png": b"\xff", "../up.tex": b"no"}
     for pack in (tar, zipped):
-        df = spark.createDataFrame([(0, "p", bytearray(pack(files)))], "ord int, paper_id string, content binary")
+        df = spark.createDataFrame([("p", bytearray(pack(files)))], "paper_id string, content binary")
         assert {(r["path"], r["content"]) for r in archive.read_files(df).collect()} == {("main.tex", "x"), ("sub/a.bbl", "é")}
-    bad = spark.createDataFrame([(0, "p", bytearray(b"junk")), (1, "q", bytearray(tar({"m.tex": b"\xff"}))), (2, "r", None)],
-                                "ord int, paper_id string, content binary")
+    bad = spark.createDataFrame([("p", bytearray(b"junk")), ("q", bytearray(tar({"m.tex": b"\xff"}))), ("r", None)], "paper_id string, content binary")
     assert archive.read_files(bad, permissive=True).filter("error IS NOT NULL").count() == 3
     with pytest.raises(Exception):
         archive.read_files(bad).collect()
@@ -227,6 +230,184 @@ def test_pipeline_errors(spark):
     assert out == {"survey_text": "% Paper ID: q\n% Title: Unknown Title\n% Authors: Unknown Authors\n\n", "bibtex": ""}
 
 
+SHARED = r"""\documentclass{article}
+\section{Related Work} See \cite{b1}. \input{rel.txt}
+\input{figure.png}"""
+
+
+def shared_bbl(author, title):
+    return "\\begin{thebibliography}{9}\n\\bibitem{b1}\n" + author + ".\n\\newblock " + title + ".\n\\newblock 2016.\n\\end{thebibliography}"
+
+
+WORKS = {
+    "p1": ("Ann Lee, Bo Ek", "Streams of Many Rivers"),
+    "p2": ("Cy Dor, Di Fenn", "Lattices in Deep Water"),
+    "p3": ("Ann Lee, Bo Ek", "Streams of Many Rivers"),
+}
+
+
+def web(url):
+    """A stand-in for both services."""
+    name = url.rsplit("/", 1)[-1]
+    if "/e-print/" in url:
+        author, title = WORKS[name]
+        return tar({"main.tex": SHARED.replace("\\input{figure.png}", "").encode(), "rel.txt": b"As \\citet{b1} say.", "m.bbl": shared_bbl(author, title).encode()})
+    if "/bibtex/" in url:
+        return f"@misc{{x, title={{Paper {name}}}, author={{A B}}}}".encode()
+    title = url.split("q=")[1].split("&")[0].replace("+", " ")
+    return json.dumps({"result": {"hits": {"@total": "2", "hit": [hit("Another thing", "2016"), hit(title, "2016", ["From Web 0001"])]}}}).encode()
+
+
+def test_verification_end_to_end(spark, tmp_path):
+    """Papers that share a cite key for different works get the answers of their own works, each asked for once."""
+    online = pipeline.Sources(get=web)
+    out = pipeline.extract_survey(spark, list(WORKS), sources=online, options=Options(scope="paper", api_timeout_secs=0.0))
+    assert out["survey_text"].count("\\cite{web_streams_many_rivers_2016}") == 2
+    assert out["survey_text"].count("\\cite{web_lattices_deep_water_2016}") == 1
+    assert out["survey_text"].count("As \\citet{web_") == 3 and "% Title: Paper p2" in out["survey_text"]
+    assert out["bibtex"].count("verified_source = {DBLP}") == 3
+    # The same from tables: answers by search, then records to search in.
+    archives = spark.createDataFrame([(p, bytearray(web(f"x/e-print/{p}"))) for p in WORKS], "paper_id string, content binary")
+    arxiv = spark.createDataFrame([(p, web(f"x/bibtex/{p}").decode()) for p in WORKS], "arxiv_id string, bibtex string")
+    queries = sorted({t.replace(" ", "+") for _, t in WORKS.values()})
+    answers = spark.createDataFrame([(q, web(f"x?q={q}&").decode()) for q in queries], "query string, json string")
+    options = Options(scope="paper")
+    assert pipeline.extract_survey(spark, list(WORKS), archives, arxiv, answers, options) == out
+    from citeloom.schemas import DBLP_INFO
+
+    hits = [(i, (t, "2016", None, None, None, None, ([("From Web 0001",)],))) for i, (_, t) in enumerate(dict.fromkeys(WORKS.values()))]
+    records = spark.createDataFrame(hits, f"hit_id long, info {DBLP_INFO}")
+    found = pipeline.extract_survey(spark, list(WORKS), options=options, sources=pipeline.Sources(archives, arxiv, records=records, offline=True))
+    assert found == out
+    from citeloom import extract_survey
+
+    mirror = tmp_path / "mirror"
+    mirror.mkdir()
+    for p in WORKS:
+        (mirror / f"{p}.tar.gz").write_bytes(web(f"x/e-print/{p}"))
+    arxiv.write.parquet(str(tmp_path / "arxiv"))
+    records.write.parquet(str(tmp_path / "dblp"))
+    given = {"mirror": str(mirror), "arxiv_table": str(tmp_path / "arxiv"), "dblp_table": str(tmp_path / "dblp"), "offline": True}
+    assert extract_survey(list(WORKS), Options(scope="paper", **given), spark) == out
+
+
+def test_failures_of_tasks_keep_their_kind(spark):
+    def broken(url):
+        if "/e-print/" in url:
+            return b"junk"
+        return web(url)
+
+    with pytest.raises(errors.ArchiveError):
+        pipeline.extract_survey(spark, ["p1"], sources=pipeline.Sources(get=broken))
+    with pytest.raises(errors.ApiError, match="Empty response for p1"):
+        pipeline.extract_survey(spark, ["p1"], sources=pipeline.Sources(get=lambda u: b""))
+
+    def silent(url):
+        raise OSError("no route")
+
+    with pytest.raises(errors.NetworkError, match="no route"):
+        pipeline.extract_survey(spark, ["p1"], sources=pipeline.Sources(get=silent))
+    archives = spark.createDataFrame([("p1", bytearray(web("x/e-print/p1")))], "paper_id string, content binary")
+    with pytest.raises(errors.ApiError, match="BibTeX of p1"):  # a paper that arXiv does not describe
+        pipeline.extract_survey(spark, ["p1"], archives, arxiv_table(spark).filter("arxiv_id <> 'p1'"))
+
+
+def test_files_of_any_name_are_included(spark):
+    files = {"main.tex": SHARED.encode(), "rel.txt": b"rest \\input{more.inc}", "more.inc": b"end", "other.txt": b"no", "figure.png": b"png"}
+    assert dict(archive.text_members(zipped(files))).keys() == {"main.tex", "rel.txt", "more.inc", "figure.png"}
+    text, included = latex_source.expand_listed({p: t.decode() for p, t in files.items()}, "main.tex")
+    assert text.endswith("rest end\npng") and included == ["rel.txt", "more.inc", "figure.png"]
+    df = spark.createDataFrame([(0, "p", "main.tex", "\\documentclass\\input{a}"), (0, "p", "a.tex", "A")], "ord int, paper_id string, path string, content string")
+    assert latex_source.expand_includes(df).first()["included"] == ["a.tex"]
+
+
+def test_of_several_archives_of_a_paper_one_is_read(spark):
+    both = [("p", bytearray(tar({"main.tex": b"one", "x.tex": b"x"}))), ("p", bytearray(zipped({"main.tex": b"two"}))), ("p", bytearray(b"junk"))]
+    df = spark.createDataFrame(both, "paper_id string, content binary")
+    got = archive.one_archive(archive.read_files(df, permissive=True)).collect()
+    assert {(r["path"], r["content"]) for r in got} in ({("main.tex", "one"), ("x.tex", "x")}, {("main.tex", "two")})
+
+
+def test_unicode_white_space(spark):
+    doc = "\\section\u00a0{Related Work} x \\cite{a}"
+    assert sections.extract_sections(latex(spark, doc)).first()["title"] == "Related Work"
+    from citeloom.operators import bibliography
+
+    df = spark.createDataFrame([("k", {"raw": "see arXiv:\u00a02305.15030"})], "key string, fields map<string,string>")
+    assert df.select(bibliography.arxiv_id()).first()[0] == "2305.15030"
+
+
+def test_word_sets_meet_like_brute_force(spark, monkeypatch):
+    import itertools
+    import random
+
+    from citeloom.operators import similarity
+
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "abcdef" for b in ("x", "yy", "zzz", "wwww")]
+    left, right = ([r.sample(vocabulary, r.randint(0, 9)) for _ in range(150)] for _ in range(2))
+    a, b = (spark.createDataFrame([(" ".join(w),) for w in side] + [(None,)], "t string").select(similarity.word_set("t").alias("words")) for side in (left, right))
+    sets = [{frozenset(w) for w in side if w} for side in (left, right)]
+    for least, side in ((0.5, 10**6), (0.5, 3), (0.6, 10**6), (1.0, 10**6)):
+        monkeypatch.setattr(skew, "SIDE", side)
+        expected = {(x, y) for x, y in itertools.product(*sets) if len(x & y) >= least * len(x | y)}
+        got = [(frozenset(x["a"]), frozenset(x["b"])) for x in similarity.similar_sets(a, b, least).collect()]
+        assert set(got) == expected and len(got) == len(expected) and expected
+
+
+def test_large_blocks_are_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SIDE", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 30)
+    a = spark.createDataFrame([("h", i) for i in range(95)] + [("c", 1), (None, 2)], "k string, x int")
+    b = spark.createDataFrame([("h", i) for i in range(42)] + [("c", 7), (None, 3)], "k string, y int")
+    got = [(x["k"], x["x"], x["y"]) for x in skew.split_join(a, b, "k").collect()]
+    assert len(got) == len(set(got)) == 95 * 42 + 1
+
+
+def test_hot_rows_too_large_to_broadcast_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "HOT_BYTES", 10)
+    big = spark.createDataFrame([("h", i) for i in range(50)] + [("c", 1), (None, 2), ("x", 3)], "k string, v int")
+    small = spark.createDataFrame([("h", "H" * 99, 50), ("c", "C", 1)], "k string, w string, n long")
+    assert skew.hot_first_join(big, small, "k", "n", 53).count() == 51
+    left = skew.hot_first_join(big, small, "k", "n", 53, "left")
+    assert left.count() == 53 and left.filter("w IS NULL").count() == 2
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(skew, "HOT_SHARE", 0)
+        monkeypatch.setattr(skew, "hot_threshold", lambda rows: 1)
+        skew.hot_first_join(big, small, "k", "n", 53)
+
+
+def test_records_answer_searches(spark):
+    """A typing error or another article in front loses no record, and equal scores go to the smaller id."""
+    from citeloom.schemas import DBLP_INFO
+
+    rec = lambda i, t, y="2016": (i, (t, y, None, f"u{i}", None, None, None))
+    records = spark.createDataFrame([rec(1, "The deep parsing of many rivers"), rec(2, "Deep parsing of many rivers"), rec(3, "Deep parsing of many rivers"), rec(4, None), rec(5, "Other things"), rec(6, "Void of year entirely", None)], f"hit_id long, info {DBLP_INFO}")
+    rows = [(1, "Depe parsing of many rivers"), (2, "Deep Parsing of Many Rivers"), (3, "nothing"), (4, "..."), (5, "Void of year entirely")]
+    entries = spark.createDataFrame([(i, {"title": t, "year": "2016", "author": "A"}) for i, t in rows] + [(9, {"title": "Other things"}), (10, None)], "key long, fields map<string,string>")
+    got = {r["key"]: (r["info"]["url"], r["score"]) for r in verification.search_matches(entries, records).collect()}
+    assert got == {1: ("u1", 2), 2: ("u2", 4)}
+
+
+def test_tool_server():
+    from citeloom import tool
+
+    class Library:
+        def __init__(self, name):
+            self.tools = {}
+            Library.last = self
+
+        def tool(self, name, description):
+            return lambda f: self.tools.setdefault(name, f)
+
+        def run(self):
+            self.ran = True
+
+    tool.serve(lambda ids: {"survey_text": ids[0], "bibtex": "b"}, Library)
+    assert Library.last.ran and Library.last.tools["arvix_survey"]("7") == "Related work:\n7\n\nBibliography:\nb"
+
+
 def test_error_messages():
     assert str(errors.InvalidArxivId("123")) == "Invalid arXiv ID: 123"
     assert str(errors.BibtexParsingError()) == "Failed to parse BibTeX entry"
@@ -242,14 +423,18 @@ def test_fetchers_retry_within_their_budget():
 
     def get(url):
         calls.append(url)
-        return b"nothing"
+        raise OSError("no answer")
 
     options = Options(api_timeout_secs=3.0)
     assert fetch.fetch_bibtex("1", options, get, waits.append) is None
     assert len(calls) > 3 and sum(waits) <= 3.0 and max(waits) <= 7.5
     good = json.dumps({"result": {"hits": {"@total": "1", "hit": [{}]}}}).encode()
-    assert fetch.fetch_dblp("A {B}", options, lambda u: good if "q=A+B&" in u else b"", waits.append)
+    assert fetch.fetch_dblp("A+B", options, lambda u: good if "q=A+B&" in u else b"", waits.append)
     assert fetch.fetch_dblp(None, options, get) is None
+    n = len(waits)  # an answer that is of no use is not asked for again, one that cannot be read is
+    assert fetch.fetch_bibtex("1", options, lambda u: b"nothing", waits.append) is None
+    assert fetch.fetch_dblp("A", options, lambda u: b'{"result": {"hits": {"@total": "0"}}}', waits.append) is None
+    assert len(waits) == n and fetch.fetch_dblp("A", options, lambda u: b"{", waits.append) is None and len(waits) > n
     with pytest.raises(errors.ApiError):
         fetch.fetch_archive("1", options, lambda u: b"")
 
@@ -288,8 +473,8 @@ def test_fetchers_in_tasks(spark):
     ids = papers.selectExpr("paper_id AS arxiv_id")
     answers = fetch.bibtex(ids, options, lambda u: b"@x{author title}" if u.endswith("a") else b"").collect()
     assert {r["arxiv_id"]: r["bibtex"] for r in answers} == {"a": "@x{author title}", "b": None}
-    titles = spark.createDataFrame([("T 1",), (None,)], "title string")
-    found = {r["title"]: r["json"] for r in fetch.dblp(titles, options, lambda u: b'{"result": {"hits": {"@total": "0"}}}').collect()}
+    queries = spark.createDataFrame([("T 1",), (None,)], "query string")
+    found = {r["query"]: r["json"] for r in fetch.dblp(queries, options, lambda u: b'{"result": {"hits": {"@total": "0"}}}').collect()}
     assert found == {"T 1": None, None: None}
 
 
