@@ -132,6 +132,11 @@ def words(x: str, sep: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{sep}'), lambda w: w <> '')"
 
 
+_SCORE = f"""(CASE WHEN y = info.year THEN 1 ELSE 0 END
+     + CASE WHEN t = h THEN 3 WHEN contains(t, h) OR contains(h, t) THEN 2
+            WHEN {shared(words('t', _WS + '+'), words('h', _WS + '+'))} > 2 THEN 1 ELSE 0 END
+     + CASE WHEN {shared(words('a', '[ ~]'), words('names', '[ ~]'))} >= 5 THEN 2 ELSE 0 END)"""
+
 _MATCH = rf"""
 ents AS (SELECT entry_id, fields, {_ARXIV} AS arxiv_id, {word_set(TITLE)} AS ws FROM bib),
 hits AS (SELECT hit_id, info, {word_set('info.title')} AS hs FROM dblp),
@@ -145,10 +150,7 @@ pairs AS (
   FROM able JOIN near USING (ws) JOIN hits USING (hs)),
 scored AS (
   SELECT entry_id, hit_id, info, arxiv_id, (info.title IS NULL OR info.year IS NULL) AS broken,
-    (CASE WHEN y = info.year THEN 1 ELSE 0 END
-     + CASE WHEN t = h THEN 3 WHEN contains(t, h) OR contains(h, t) THEN 2
-            WHEN {shared(words('t', _WS + '+'), words('h', _WS + '+'))} > 2 THEN 1 ELSE 0 END
-     + CASE WHEN {shared(words('a', '[ ~]'), words('names', '[ ~]'))} >= 5 THEN 2 ELSE 0 END) AS score
+    {_SCORE} AS score
   FROM pairs),
 best AS (
   SELECT entry_id, arg_max(struct_pack(i := info, s := score), (score, -hit_id)) AS b, bool_or(broken) AS broken
@@ -181,6 +183,52 @@ v AS (
   FROM merged)
 """
 
+_LAST_PAPERS = """
+SELECT ord, paper_id, p.t AS title, p.a AS authors FROM (
+  SELECT ord, paper_id, arg_max(struct_pack(t := title, a := authors), (loaded_at, fetched_at)) AS p FROM papers GROUP BY ord, paper_id)
+"""
+
+
+def cut(x: str, limit: int) -> str:
+    """Texts over ``limit`` bytes keep whole characters of ``limit - 3`` bytes."""
+    heads = f"list_filter(list_transform(range(0, {limit - 2}), lambda n: left({x}, n)), lambda h: strlen(h) <= {limit - 3})"
+    return f"CASE WHEN strlen({x}) > {limit} THEN list_max({heads}) || '...' ELSE {x} END"
+
+
+def described(field: str, default: str) -> str:
+    """The value as a BibTeX text holds it: up to a closing brace, trimmed."""
+    value = trim(f"split_part({field}, '}}', 1)")
+    return f"coalesce({cut(value, 100)}, '{default}')"
+
+
+_QUERY = f"replace(replace(replace(replace({TITLE}, '{{', ''), '}}', ''), '*', ''), ' ', '+')"
+_QUERY_TEXT = clean("replace(query, '+', ' ')")
+_BY_SEARCH = rf"""
+WITH {_ANSWERS},
+last AS (
+  SELECT ord, key, fields, {_ARXIV} AS arxiv_id, {_QUERY} AS query FROM bib
+  QUALIFY row_number() OVER (PARTITION BY ord, key ORDER BY file_ord DESC, pos DESC, entry_id DESC) = 1),
+hits AS (SELECT hit_id, info, {clean('info.title')} AS t_clean FROM dblp),
+ents AS (SELECT *, row_number() OVER () AS entry_id, {_QUERY_TEXT} AS t_clean FROM last),
+pairs AS (
+  SELECT e.entry_id, h.hit_id, h.info, {YEAR} AS y, {AUTHOR} AS a, replace(replace(lower({TITLE}), '{{', ''), '}}', '') AS t,
+         lower(info.title) AS h, array_to_string({_AUTHORS}, ' and ') AS names, length(query) % 2 = 0 AS void
+  FROM ents e JOIN hits h USING (t_clean)
+  WHERE e.t_clean <> '' AND {TITLE} IS NOT NULL AND {YEAR} IS NOT NULL AND {AUTHOR} IS NOT NULL),
+scored AS (
+  SELECT entry_id, hit_id, info, void OR info.title IS NULL OR info.year IS NULL AS broken, {_SCORE} AS score FROM pairs),
+best AS (
+  SELECT entry_id, arg_max(struct_pack(i := info, s := score), (score, -hit_id)) AS b, bool_or(broken) AS broken FROM scored GROUP BY entry_id),
+m AS (
+  SELECT e.*, x.arxiv_id IS NOT NULL AS by_arxiv, x.arxiv_id IS NULL AND NOT coalesce(b.broken, true) AND b.b.s >= 2 AS by_dblp, x.t, x.y, b.b.i AS info
+  FROM ents e LEFT JOIN answers x USING (arxiv_id) LEFT JOIN best b USING (entry_id))
+SELECT ord, key, by_arxiv OR by_dblp AS verified,
+  CASE WHEN by_arxiv THEN 'arXiv' WHEN by_dblp THEN 'DBLP' ELSE fields['verified_source'] END AS source,
+  CASE WHEN by_arxiv THEN t WHEN by_dblp THEN info.title ELSE {TITLE} END AS title,
+  CASE WHEN by_arxiv THEN y WHEN by_dblp THEN info.year ELSE {YEAR} END AS year
+FROM m
+"""
+
 SQL: dict[str, str] = {
     "clean_titles": f"SELECT entry_id, {clean(TITLE)} AS clean, {clean_title(TITLE)} AS title FROM bib WHERE {TITLE} IS NOT NULL",
     "norm_citation_key": f"SELECT entry_id, {_KEY} AS normalized_key FROM bib",
@@ -238,6 +286,23 @@ SELECT ord, paper_id, md5(latex) AS latex_md5, length(latex)::INTEGER AS size FR
   SELECT ord, paper_id, '\documentclass{article}' || chr(10) || string_agg(content, chr(10) ORDER BY pos, section_id) AS latex
   FROM sections WHERE content IS NOT NULL GROUP BY ord, paper_id)
 """,
+    "included_files": """
+SELECT ord, paper_id, string_agg('sec/s' || section_id || '.tex', '|' ORDER BY pos, section_id) AS included
+FROM sections WHERE content IS NOT NULL GROUP BY ord, paper_id
+""",
+    "archive_files": r"""
+SELECT paper_id, 'sec/s' || section_id || '.tex' AS path, md5(content) AS content_md5 FROM sections WHERE content IS NOT NULL
+UNION ALL
+SELECT paper_id, CASE ord % 3 WHEN 0 THEN 'main.tex' WHEN 1 THEN 'zz.tex' ELSE 'article.tex' END,
+  md5('\documentclass{article}' || chr(10) || string_agg('\input{sec/s' || section_id || '}', chr(10) ORDER BY pos, section_id))
+FROM sections WHERE content IS NOT NULL GROUP BY ord, paper_id
+""",
+    "described_papers": f"""
+SELECT ord, paper_id, CASE WHEN ord % 2 = 0 THEN 'Unknown Title' ELSE {described('title', 'Unknown Title')} END AS title,
+  CASE WHEN ord % 2 = 0 THEN 'Unknown Authors' ELSE {described('authors', 'Unknown Authors')} END AS authors, ord % 2 = 1 AS described
+FROM ({_LAST_PAPERS})
+""",
+    "verify_by_search": _BY_SEARCH,
     "bibtex_render": f"""
 SELECT key, normalized_key, '@' || coalesce(entry_type, 'article') || '{{' || normalized_key || ',' || chr(10) || coalesce(body, '') || '}}' || chr(10) || chr(10) AS bibtex
 FROM (

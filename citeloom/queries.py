@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.config import Options
 from citeloom.functions import bbl
 from citeloom.functions.text import (
     cite_keys,
@@ -18,8 +23,9 @@ from citeloom.functions.text import (
     truncate_bytes,
 )
 from citeloom.operators import bibliography, citations, rendering, sections, verification
-from citeloom.session import table
-from citeloom.sources import latex_source
+from citeloom.plans import pipeline
+from citeloom.session import materialise, table
+from citeloom.sources import archive, latex_source
 from citeloom.sources.bibtex import parse_bibtex
 from citeloom.sources.dblp import read_hits
 
@@ -208,18 +214,96 @@ def include_expand(spark: SparkSession, folder: str) -> DataFrame:
     return latex.select("ord", "paper_id", F.md5("latex").alias("latex_md5"), F.length("latex").alias("size"))
 
 
+def included_files(spark: SparkSession, folder: str) -> DataFrame:
+    latex = latex_source.expand_includes(paper_files(spark, folder))
+    return latex.select("ord", "paper_id", _joined("included").alias("included"))
+
+
+def packed_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(paper_id, content): the papers' source files in ZIP archives or (papers of an even number) compressed tars, figures beside them."""
+
+    @F.pandas_udf("binary")
+    def pack(number: pd.Series, files: pd.Series) -> pd.Series:
+        out = []
+        for n, members in zip(number, files):
+            data = {m["path"]: m["content"].encode() for m in members} | {"fig/a.png": b"\xff\xd8", "../outside.tex": b"no"}
+            held = io.BytesIO()
+            if n % 2:
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    for path, text in data.items():
+                        z.writestr(path, text)
+            else:
+                with tarfile.open(fileobj=held, mode="w:gz", compresslevel=1) as t:
+                    for path, text in data.items():
+                        info = tarfile.TarInfo(path)
+                        info.size = len(text)
+                        t.addfile(info, io.BytesIO(text))
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    grouped = paper_files(spark, folder).groupBy("ord", "paper_id").agg(F.collect_list(F.struct("path", "content")).alias("files"))
+    return grouped.select("paper_id", pack("ord", "files").alias("content"))
+
+
+def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = archive.one_archive(materialise(archive.read_files(packed_archives(spark, folder)), "texts"))
+    return files.select("paper_id", "path", F.md5("content").alias("content_md5"))
+
+
+def described_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers with the title and authors that a BibTeX text of theirs gives; papers of an even number have none."""
+    papers = _last_papers(spark, folder)
+
+    def field(column: str, name: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.concat(F.lit(f",\n  {name} = {{ "), F.col(column), F.lit(" }"))).otherwise("")
+
+    text = F.concat(F.lit("@misc{x"), field("title", "title"), field("authors", "author"), F.lit("\n}"))
+    answers = papers.filter("ord % 2 = 1").select(F.col("paper_id").alias("arxiv_id"), text.alias("bibtex"))
+    return latex_source.with_metadata(papers.select("ord", "paper_id"), answers)
+
+
+def search_answers(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+    """(query, json): what a search service would say to the entries' searches: the records of that title, by ``hit_id``.
+
+    Searches of an even number of characters also get a hit without a year, which voids all others.
+    """
+    asked = entries.select(dblp_query(F.col("fields")["title"]).alias("query")).filter("query <> ''").distinct()
+    asked = asked.withColumn("t", clean_text(F.translate("query", "+", " "))).filter("t <> ''")
+    records = table(spark, folder, "dblp").select("hit_id", "info", clean_text("info.title").alias("t"))
+    hits = asked.join(records, "t").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("hit_id", "info"))).alias("h"))
+    listed = F.transform("h", lambda h: F.struct(h["info"].alias("info")))
+    void = F.transform(F.slice("h", 1, 1), lambda h: F.struct(h["info"].withField("year", F.lit(None).cast("string")).alias("info")))
+    listed = F.when(F.length("query") % 2 == 0, F.concat(listed, void)).otherwise(listed)
+    found = F.struct(listed.alias("hit"), F.size(listed).cast("string").alias("@total"))
+    return hits.select("query", F.to_json(F.struct(F.struct(found.alias("hits")).alias("result"))).alias("json"))
+
+
+def verify_by_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paper's own entries against arXiv's and DBLP's answers, which meet them by id and by search."""
+    entries = bibliography.consolidate(table(spark, folder, "bib"), "paper", TIE).drop(TIE)
+    sources = pipeline.Sources(arxiv=arxiv_answers(spark, folder), answers=search_answers(spark, folder, entries), offline=True)
+    f = F.col("fields")
+    return pipeline.verified(entries, sources, Options()).select(
+        "ord", "key", "verified", f["verified_source"].alias("source"), f["title"].alias("title"), f["year"].alias("year")
+    )
+
+
 def bibtex_render(spark: SparkSession, folder: str) -> DataFrame:
     return bibliography.rendered(bibliography.consolidate(table(spark, folder, "bib"), tie=TIE))
 
 
-def survey_render(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "sections")
-    last = s.groupBy("ord", "paper_id", "kind", "pos").agg(F.max_by(F.struct("title", "content"), "section_id").alias("s"))
+def _last_papers(spark: SparkSession, folder: str) -> DataFrame:
     papers = table(spark, folder, "papers").groupBy("ord", "paper_id").agg(
         F.max_by(F.struct("title", "authors"), F.struct("loaded_at", "fetched_at")).alias("p")
     )
+    return papers.select("ord", "paper_id", "p.*")
+
+
+def survey_render(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "sections")
+    last = s.groupBy("ord", "paper_id", "kind", "pos").agg(F.max_by(F.struct("title", "content"), "section_id").alias("s"))
     parts = rendering.survey_parts(
-        papers.select("ord", "paper_id", "p.*"), last.select("ord", "kind", "pos", "s.title", F.col("s.content").alias("normalized"))
+        _last_papers(spark, folder), last.select("ord", "kind", "pos", "s.title", F.col("s.content").alias("normalized"))
     )
     return parts.select("ord", "paper_id", F.md5("part").alias("part_md5"), F.length("part").alias("size"))
 
@@ -260,6 +344,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         verify_stats,
         main_tex_choice,
         include_expand,
+        included_files,
+        archive_files,
+        described_papers,
+        verify_by_search,
         bibtex_render,
         survey_render,
         paper_metadata,

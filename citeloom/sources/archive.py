@@ -93,7 +93,7 @@ def read_files(archives: DataFrame, permissive: bool = False) -> DataFrame:
 
 
 def one_archive(files: DataFrame) -> DataFrame:
-    """``read_files`` rows of one archive a paper: of several the readable one of the smallest checksum."""
+    """``read_files`` rows of one archive a paper: of several the readable one of the smallest checksum. They are read twice: pass a written table."""
     rank = F.struct(F.col("error").isNotNull().alias("bad"), F.col("source"))
     chosen = files.groupBy("paper_id").agg(F.min(rank)["source"].alias("source"))
     return files.join(chosen, ["paper_id", "source"]).dropDuplicates(["paper_id", "path"]).drop("source")

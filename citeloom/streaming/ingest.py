@@ -34,9 +34,9 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, once: bool = False) ->
 
     def write(batch: DataFrame, number: int) -> None:
         # The texts are written, not kept by executors: archives are unpacked once even if an executor is lost.
-        files = f"{out}/files/batch={number}"
-        archive.one_archive(archive.read_files(batch, permissive=True)).write.mode("overwrite").parquet(files)
-        read = batch.sparkSession.read.parquet(files).withColumn("ord", F.lit(0))
+        path, spark = f"{out}/files/batch={number}", batch.sparkSession
+        archive.read_files(batch, permissive=True).write.mode("overwrite").parquet(path)
+        read = archive.one_archive(spark.read.parquet(path)).withColumn("ord", F.lit(0))
         good = read.filter("error IS NULL")
         found = sections.extract_sections(latex_source.expand_includes(good))
         found.write.mode("overwrite").parquet(f"{out}/sections/batch={number}")
