@@ -16,6 +16,7 @@ import citeloom
 cloudpickle.register_pickle_by_value(citeloom)
 
 _written: dict[str, list[str]] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def get_spark(app: str = "citeloom", cores: str = "*") -> SparkSession:
@@ -57,7 +58,7 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage: write ``df`` once as a parquet table in the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan once, and unlike ``localCheckpoint()`` the rows survive the
-    loss of an executor. The tables are removed by ``clear_materialised`` or when the driver ends.
+    loss of an executor. The tables are removed by ``release``, by ``clear_materialised`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citeloom-{name}-{uuid.uuid4().hex}"
@@ -66,15 +67,33 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     if app not in _written:
         atexit.register(_clear_quietly, spark)
     _written.setdefault(app, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote, once their last reader has run; other DataFrames are left alone."""
+    for df in tables:
+        held = _paths.pop(id(df), None)
+        if held is not None:
+            sc = df.sparkSession.sparkContext
+            if held[1] in (paths := _written.get(sc.applicationId, [])):
+                paths.remove(held[1])
+                _delete(sc, held[1])
+
+
+def _delete(sc, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear_materialised(spark: SparkSession) -> None:
     """Remove every table that ``materialise`` wrote for this application."""
     sc = spark.sparkContext
     for path in _written.pop(sc.applicationId, []):
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(sc, path)
+    _paths.clear()
 
 
 def _clear_quietly(spark: SparkSession) -> None:
