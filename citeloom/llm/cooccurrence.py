@@ -2,7 +2,8 @@
 
 Method: external sort of packed 64-bit pair codes. Keys get dense 31-bit numbers in byte order; each basket emits one
 long per pair; the codes are sorted in runs (Spark's external sorter spills and merges them) and run-length counted,
-once before the shuffle as a combiner and once after it; the odds ratio has a continuity correction of one half.
+once before the shuffle as a combiner and once after it; the odds ratio has a continuity correction of one half. Should there
+be more keys than 31 bits can number, pairs are counted as two numbers instead of one code.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def baskets(sections: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(found: DataFrame, least: int) -> DataFrame:
-    """(key, n, id) of keys in at least ``least`` baskets; ``id`` is dense and follows the keys' byte order.
+def dictionary(found: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """(key, n, id), and the number, of keys in at least ``least`` baskets; ``id`` is dense and follows the keys' byte order.
 
     Rarer keys cannot be part of a pair counted ``least`` times, so leaving them out loses nothing.
     """
@@ -64,13 +65,10 @@ def dictionary(found: DataFrame, least: int) -> DataFrame:
     for r in sizes:
         starts.append((r["part"], total))
         total += r["count"]
-    if total >= 1 << ID_BITS:
-        raise OverflowError(f"{total} frequent keys do not fit {ID_BITS} bits; raise the least count")
-    if not starts:
-        return ordered.select("key", "n", F.col("at").alias("id"))
-    start = F.create_map(*[F.lit(x) for pair in starts for x in pair])
+    start = found.sparkSession.createDataFrame(starts, "part long, start long")  # as small as the list of partitions
     local = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.select("key", "n", (start[part] + local).cast("long").alias("id"))
+    numbered = ordered.withColumn("part", part).join(F.broadcast(start), "part")
+    return numbered.select("key", "n", (F.col("start") + local).alias("id")), total
 
 
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,23 +97,24 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pair_counts(found: DataFrame, words: DataFrame, rows: int, least: int) -> DataFrame:
-    """(code, n_ab): packed pairs of numbers counted in at least ``least`` baskets."""
+def pair_counts(found: DataFrame, words: DataFrame, rows: int, least: int, packed: bool = True) -> DataFrame:
+    """(a, b, n_ab): pairs of numbers, a < b, counted in at least ``least`` baskets; ``rows`` is the number of keys in all baskets.
+
+    A basket's pairs are made one by one, so a basket of any size is held as its own keys only.
+    """
     flat = found.filter(F.size("keys") > 1).select("basket", F.explode("keys").alias("key"))
     numbered = hot_first_join(flat, words.select("key", "id", "n"), "key", "n", rows)
     ids = numbered.groupBy("basket").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)
-    codes = F.flatten(
-        F.transform(
-            "ids",
-            lambda a, i: F.transform(
-                F.slice("ids", i + 2, F.size("ids")), lambda b: F.shiftleft(a, 32).bitwiseOR(b)
-            ),
-        )
-    )
-    runs = ids.select(F.explode(codes).alias("code"), F.lit(1).cast("long").alias("n")).sortWithinPartitions("code")
+    firsts = ids.select("ids", F.posexplode("ids").alias("at", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
+    if not packed:
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= least)
+    code = F.shiftleft("a", 32).bitwiseOR(F.col("b"))
+    runs = pairs.select(code.alias("code"), F.lit(1).cast("long").alias("n")).sortWithinPartitions("code")
     schema = "code long, n_ab long"
     merged = runs.mapInArrow(_run_lengths, schema).repartition("code").sortWithinPartitions("code")
-    return merged.mapInArrow(_run_lengths, schema).filter(F.col("n_ab") >= least)
+    counted = merged.mapInArrow(_run_lengths, schema).filter(F.col("n_ab") >= least)
+    return counted.select(F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND((1 << 32) - 1).alias("b"), "n_ab")
 
 
 def associations(sections: DataFrame, least: int = 5) -> DataFrame:
@@ -126,12 +125,12 @@ def associations(sections: DataFrame, least: int = 5) -> DataFrame:
     counts once, NULL and empty keys not at all; an empty table gives no rows.
     """
     found = materialise(baskets(sections), "p6-baskets")
-    n_all = found.count()
-    words = materialise(dictionary(found, least), "p6-dictionary")
-    counted = pair_counts(found, words, n_all, least)
+    n_all, n_keys = found.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    numbered, n_words = dictionary(found, least)
+    words = materialise(numbered, "p6-dictionary")
+    pairs = pair_counts(found, words, n_keys, least, n_words < 1 << ID_BITS)
     a = words.select(F.col("id").alias("a"), F.col("key").alias("key_a"), F.col("n").alias("n_a"))
     b = words.select(F.col("id").alias("b"), F.col("key").alias("key_b"), F.col("n").alias("n_b"))
-    pairs = counted.select(F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND((1 << 32) - 1).alias("b"), "n_ab")
     total = F.lit(n_all).cast("long")
     both, only_a, only_b = F.col("n_ab"), F.col("n_a") - F.col("n_ab"), F.col("n_b") - F.col("n_ab")
     neither = total - F.col("n_a") - F.col("n_b") + F.col("n_ab")

@@ -67,7 +67,8 @@ def p6_associations(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of keys cited together, in however few sections."""
-    return cooccurrence.associations(table(spark, folder, "sections"), least=1)
+    pairs = cooccurrence.associations(table(spark, folder, "sections"), least=1)
+    return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,6 +25,24 @@ g AS (
   FROM r)
 """
 
+def _keys(least: int) -> str:
+    return _KEYS + f"""
+p AS (
+  SELECT x.k AS key_a, y.k AS key_b, count(*) AS n_ab
+  FROM f x JOIN f y ON x.basket = y.basket AND x.k < y.k GROUP BY ALL HAVING count(*) >= {least}),
+a AS (
+  SELECT key_a, key_b, n_ab, na.n AS n_a, nb.n AS n_b, n_all
+  FROM p JOIN n na ON na.k = key_a JOIN n nb ON nb.k = key_b CROSS JOIN total)
+"""
+
+
+_PAIRS = """
+SELECT key_a, key_b, n_ab, n_a, n_b, n_all, round(n_ab::DOUBLE * n_all / (n_a * n_b), 6) AS lift,
+       round((n_ab + 0.5::DOUBLE) * (n_all - n_a - n_b + n_ab + 0.5::DOUBLE)
+             / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)), 6) AS odds_ratio
+FROM a
+"""
+
 _KEYS = r"""
 WITH raw AS (
   SELECT paper_id, kind, pos,
@@ -37,12 +55,6 @@ b AS (
 total AS (SELECT count(*) AS n_all FROM b),
 f AS (SELECT basket, unnest(ks) AS k FROM b),
 n AS (SELECT k, count(*) AS n FROM f GROUP BY k),
-p AS (
-  SELECT x.k AS key_a, y.k AS key_b, count(*) AS n_ab
-  FROM f x JOIN f y ON x.basket = y.basket AND x.k < y.k GROUP BY ALL HAVING count(*) >= 5),
-a AS (
-  SELECT key_a, key_b, n_ab, na.n AS n_a, nb.n AS n_b, n_all
-  FROM p JOIN n na ON na.k = key_a JOIN n nb ON nb.k = key_b CROSS JOIN total)
 """
 
 _FIELD = "fields['{0}']"
@@ -96,12 +108,7 @@ FROM sections WHERE length(content) > 4000
 """,
     "p5_found": _RECORDS + "SELECT first_id, entry_id FROM g WHERE first_id <> entry_id",
     "p5_records": _RECORDS + "SELECT first_id AS entry_id, count(*) AS copies FROM g GROUP BY first_id",
-    "p6_found": _KEYS + "SELECT key_a, key_b FROM a WHERE n_ab::HUGEINT * n_all >= 5 * n_a::HUGEINT * n_b",
-    "p6_associations": _KEYS
-    + """
-SELECT key_a, key_b, n_ab, n_a, n_b, n_all, round(n_ab::DOUBLE * n_all / (n_a * n_b), 6) AS lift,
-       round((n_ab + 0.5::DOUBLE) * (n_all - n_a - n_b + n_ab + 0.5::DOUBLE)
-             / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)), 6) AS odds_ratio
-FROM a
-""",
+    "p6_found": _keys(5) + "SELECT key_a, key_b FROM a WHERE n_ab::HUGEINT * n_all >= 5 * n_a::HUGEINT * n_b",
+    "p6_associations": _keys(5) + _PAIRS,
+    "p6_pairs": _keys(1) + _PAIRS,
 }

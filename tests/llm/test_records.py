@@ -117,6 +117,26 @@ def test_every_pair_of_keys_is_counted(spark, data):
     assert any(x["n_ab"] < 5 for x in got)
 
 
+def test_more_keys_than_a_code_holds(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(f"p{i}", "section", 0, [f"k{r.randint(0, 9)}" for _ in range(5)]) for i in range(60)]
+    whole = {tuple(x) for x in cooccurrence.associations(sections(spark, rows), 2).collect()}
+    monkeypatch.setattr(cooccurrence, "ID_BITS", 3)
+    assert {tuple(x) for x in cooccurrence.associations(sections(spark, rows), 2).collect()} == whole
+    assert {x[:6] for x in whole} == brute_pairs(rows, 2)
+
+
+@pytest.mark.parametrize("hot", [10**9, 20])
+def test_large_baskets(spark, monkeypatch, hot):
+    """One basket of many keys, and baskets of 50 keys on average, so that keys are far more than baskets."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rows = [("big", "section", 0, [f"k{i:04}" for i in range(5000)])]
+    assert cooccurrence.associations(sections(spark, rows), 1).agg(F.count("*"), F.max("n_ab")).first() == (5000 * 4999 // 2, 1)
+    r = random.Random(7)
+    rows = [(f"p{i}", "section", 0, [f"k{r.randint(0, 150)}" for _ in range(60)]) for i in range(80)]
+    assert {tuple(x)[:6] for x in cooccurrence.associations(sections(spark, rows), 20).collect()} == brute_pairs(rows, 20)
+
+
 def test_cooccurrence_of_nothing(spark):
     assert cooccurrence.associations(sections(spark, [])).count() == 0
     assert cooccurrence.associations(sections(spark, [("p", "s", 1, None), ("q", "s", 1, ["a"])])).count() == 0
