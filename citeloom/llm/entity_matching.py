@@ -19,19 +19,15 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import bbl
 from citeloom.llm.name_variants import _one_edit
-from citeloom.operators.skew import hot_first_join
+from citeloom.operators.skew import split_join
 from citeloom.session import materialise
 
 #: Bands over title trigrams alone: two titles of Jaccard similarity 0.87 meet with probability 0.997, of 0.35 with 0.0006.
 TITLE_BANDS, TITLE_ROWS = 20, 10
 #: Bands joined with the first author: similarity 0.65 meets with probability 0.994.
 AUTHOR_BANDS, AUTHOR_ROWS = 16, 3
-#: Title pairs below this trigram similarity are not scored.
-LEAST_SIMILAR = 0.45
 #: Rows that the classifier is fitted and calibrated on, at most; all candidate pairs are scored.
 LABELLED_ROWS = 40_000
-#: Records of one title that are held in one row; titles with more (such as "Editorial") are spread over several rows.
-CROWDED = 50
 THRESHOLD = 0.5
 
 # Words that mark another publication, and words that mark the same one in another edition.
@@ -298,15 +294,13 @@ def _marks_sequel(word: str) -> bool:
     return word in SEQUEL_WORDS or (len(word) >= 6 and any(len(s) >= 6 and _one_edit(word, s) for s in SEQUEL_WORDS))
 
 
-def title_features(a: str, b: str) -> tuple[float, int, int, int] | None:
+def title_features(a: str, b: str) -> tuple[float, int, int, int]:
     """Trigram similarity, words of either side without a counterpart, and words that mark another publication."""
     if a == b:
         return 1.0, 0, 0, 0
     x, y = _trigrams(a), _trigrams(b)
     both = len(x & y)
     similar = both / (len(x) + len(y) - both)
-    if similar < LEAST_SIMILAR:
-        return None
     u, v = a.split(), b.split()
     only_u = [w for w in u if w not in v]
     only_v = [w for w in v if w not in u]
@@ -327,18 +321,18 @@ FEATURES = ("similar", "lost", "added", "swapped", "sequel", "shared", "no_autho
 
 
 def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs of titles with their features; ``left`` and ``right`` have (tid, title, first)."""
-    pairs = blocks(left).join(blocks(right).withColumnRenamed("tid", "rid"), "band").select("tid", "rid").distinct()
+    """All pairs of titles that share a block, with their features; ``left`` and ``right`` have (tid, title, first).
+
+    Blocks of any size are split (``split_join``), such as those of titles made by one template.
+    """
+    mine, theirs = materialise(blocks(left), "p1-bands"), materialise(blocks(right).withColumnRenamed("tid", "rid"), "p1-bands")
+    pairs = split_join(mine, theirs, "band").select("tid", "rid").distinct()
     a = left.groupBy("tid").agg(F.min("title").alias("a"))
     b = right.groupBy(F.col("tid").alias("rid")).agg(F.min("title").alias("b"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (t, r, *f)
-                for t, r, x, y in zip(pdf["tid"], pdf["rid"], pdf["a"], pdf["b"])
-                if (f := title_features(x, y)) is not None
-            ]
+            rows = [(t, r, *title_features(x, y)) for t, r, x, y in zip(pdf["tid"], pdf["rid"], pdf["a"], pdf["b"])]
             yield pd.DataFrame(rows, columns=["tid", "rid", "similar", "only_a", "only_b", "sequel"])
 
     return pairs.join(b, "rid").join(a, "tid").mapInPandas(
@@ -387,15 +381,15 @@ def weak_label() -> Column:
     return F.when(match & ~other, 1).when(other & ~match, 0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic regression, by Newton steps with an L2 penalty."""
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Weights (the last is the intercept) of a logistic regression, by Newton steps: the most probable ones under normal
+    priors around ``prior``. Labels outweigh it as soon as there are a few; without any it is the answer."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    w = prior.astype(float)
     ridge = np.full(len(w), penalty)
-    ridge[-1] = 1e-6
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
+        slope = x.T @ (p - y) + ridge * (w - prior)
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(curve, slope)
         w -= step
@@ -404,7 +398,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-#: Weights for tables too small to show both classes: title and author agreement for, any doubt against.
+#: Where the weights are thought to lie before any label is seen: title and author agreement for, any doubt against.
 PRIOR = np.array([4.0, -0.8, -0.8, -2.0, -3.0, 4.0, 2.0, -0.5, -2.5, -0.5, -4.0])
 
 
@@ -412,11 +406,10 @@ def train(sample: pd.DataFrame) -> np.ndarray:
     """Classifier weights with the calibration folded in.
 
     Half of the labelled pairs are fitted, with authors or year hidden in part of the copies so that pairs without
-    them get sound weights; the other half sets the slope and offset of Platt's calibration.
+    them get sound weights; the other half sets the slope and offset of Platt's calibration. The same is done with any number
+    of labels: weights start from ``PRIOR``, the calibration from none (slope 1, offset 0).
     """
     x, y = sample[list(FEATURES)].to_numpy(float), sample["label"].to_numpy(float)
-    if min((y == 1).sum(), (y == 0).sum()) < 20:
-        return PRIOR
     at = {f: i for i, f in enumerate(FEATURES)}
     rng = np.random.default_rng(7)
     hidden = rng.random(len(x))
@@ -426,69 +419,31 @@ def train(sample: pd.DataFrame) -> np.ndarray:
     masked[when, at["near_year"]] = masked[when, at["far_year"]] = 0
     masked[when, at["no_year"]] = 1
     half = rng.random(len(x)) < 0.5
-    w = fit(masked[half], y[half])
+    w = fit(masked[half], y[half], PRIOR)
     margin = masked[~half] @ w[:-1] + w[-1]
-    if len(set(y[~half])) < 2:
-        return w
-    slope, offset = fit(margin[:, None], y[~half], penalty=1e-3)
+    slope, offset = fit(margin[:, None], y[~half], np.array([1.0, 0.0]))
     out = w * slope
     out[-1] += offset
     return out
 
 
-_OFFER = ("hit_id", "families", "r_year", "similar", "only_a", "only_b", "sequel")
-
-
-def packed_hits(right: DataFrame, rows: int) -> DataFrame:
-    """(rid, part, held): the records of each title, at most about ``CROWDED`` to a part.
-
-    Records of one title with equal authors and year score alike and ties go to the smallest ``hit_id``, so only that
-    one is kept; no other record is left out.
-    """
-    hits = right.groupBy(F.col("tid").alias("rid"), "families", F.col("year").alias("r_year")).agg(F.min("hit_id").alias("hit_id"))
-    crowd = hits.groupBy("rid").agg(F.count("*").alias("k")).filter(F.col("k") > CROWDED)
-    part = F.lit(0)
-    if not crowd.isEmpty():
-        hits = hot_first_join(hits, crowd, "rid", "k", rows, "left")
-        part = F.coalesce(F.pmod(F.xxhash64("hit_id", F.lit(5)), F.ceil(F.col("k") / CROWDED)), F.lit(0)).cast("int")
-    return hits.groupBy("rid", part.alias("part")).agg(F.collect_list(F.struct("hit_id", "families", "r_year")).alias("held"))
-
-
-def offers(titled: DataFrame, packed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(tid, part, offers, n): each title's candidate records, and the number ``n`` of entries of that title."""
-    offer = F.transform("held", lambda h: F.struct(*[h[c].alias(c) if c in ("hit_id", "families", "r_year") else F.col(c) for c in _OFFER]))
-    per_title = titled.join(packed, "rid").groupBy("tid", "part").agg(F.flatten(F.collect_list(offer)).alias("offers"))
-    return per_title.join(sizes, "tid")
-
-
 def matches(bib: DataFrame, dblp: DataFrame) -> DataFrame:
     """(entry_id, hit_id, confidence): the most probable record of every entry that has one.
 
-    Rows without a title in ``title`` or ``raw`` match nothing; every copy of an entry is listed; ties go to the more
-    similar title, then the smaller ``hit_id``. Empty tables give no rows.
+    Every candidate pair is scored: each entry with all records of all titles like its own, whatever their number; a title that many
+    entries or records share is split. Rows without a title in ``title`` or ``raw`` match nothing; every copy of an entry is listed; ties go
+    to the more similar title, then the smaller ``hit_id``. Empty tables give no rows.
     """
     left = materialise(entries(bib), "p1-entries")
     right = materialise(records(dblp), "p1-records")
     titled = materialise(title_pairs(left, right), "p1-titles")
+    # Records of one title with equal authors and year score alike and ties go to the smallest id, so one row stands for them.
+    hits = right.groupBy(F.col("tid").alias("rid"), "families", F.col("year").alias("r_year")).agg(F.min("hit_id").alias("hit_id"))
+    offered = materialise(split_join(titled, materialise(hits, "p1-hits"), "rid").drop("rid"), "p1-offers")
     rows = left.count()
-    sizes = left.groupBy("tid").agg(F.count("*").alias("n"))
-    packed = materialise(offers(titled, packed_hits(right, right.count()), sizes), "p1-offers")
-    # Entries of a title with several parts are sent to each of them, so no task holds all records of a title.
-    spans = packed.groupBy("tid").agg(F.max("part").alias("last"), F.max("n").alias("n")).filter("last > 0")
-    sent = spans.agg(F.sum(F.col("n") * (F.col("last") + 1))).first()[0]
-    single = packed.join(spans, "tid", "left_anti") if sent else packed
-    at = F.struct("tid", "part").alias("at")
 
     def scored(some: DataFrame) -> DataFrame:
-        asked = some.select("entry_id", "tid", "authors", "year")
-        pairs = hot_first_join(asked, single, "tid", "n", rows).select("entry_id", "authors", "year", F.inline("offers"))
-        if sent:
-            wide = hot_first_join(asked, spans, "tid", "n", rows).withColumn("part", F.explode(F.sequence(F.lit(0), "last")))
-            met = hot_first_join(
-                wide.select("entry_id", "authors", "year", at), packed.join(spans.select("tid"), "tid").select(at, "offers", "n"), "at", "n", sent
-            )
-            pairs = pairs.unionByName(met.select("entry_id", "authors", "year", F.inline("offers")))
-        return features(pairs)
+        return features(split_join(some.select("entry_id", "tid", "authors", "year"), offered, "tid"))
 
     # The same entries are drawn on every run: by the hash of their identifier, as many as LABELLED_ROWS may need.
     order = F.xxhash64("entry_id", F.lit(11))

@@ -439,16 +439,29 @@ def test_title_features_and_fit():
     same = entity_matching.title_features("deep parsing of rivers", "deep parsing of rivers")
     assert same == (1.0, 0, 0, 0)
     assert entity_matching.title_features("deep parsing of rivers", "deep parsing of rivers revisited")[3] == 1
-    assert entity_matching.title_features("deep parsing", "unrelated words entirely") is None
+    assert entity_matching.title_features("deep parsing", "unrelated words entirely")[:3] == (0.0, 2, 3)
     assert entity_matching.title_features("coarse to fine parsing of rivers", "coarseto fine parsing of rivers")[1:] == (0, 0, 0)
     x = np.random.default_rng(1).normal(size=(500, 2))
     y = (x[:, 0] > 0).astype(float)
-    w = entity_matching.fit(x, y)
+    w = entity_matching.fit(x, y, np.zeros(3))
     assert w[0] > 2 and abs(w[1]) < 1
+    prior = np.array([3.0, -1.0, 0.5])
+    assert (entity_matching.fit(x[:0], y[:0], prior) == prior).all()  # no label: the prior
+    few = entity_matching.fit(x[:1], y[:1], prior)
+    assert 0 < np.abs(few - prior).max() < 1
+
+
+def test_any_number_of_labels_trains():
+    import pandas as pd
+
+    empty = pd.DataFrame(columns=[*entity_matching.FEATURES, "label"])
+    assert np.allclose(entity_matching.train(empty), entity_matching.PRIOR)
+    one = pd.DataFrame([[*([1.0] * len(entity_matching.FEATURES)), 1]] * 30, columns=empty.columns)
+    assert np.isfinite(entity_matching.train(one)).all()
 
 
 def test_crowded_titles_need_author_and_year(spark, monkeypatch):
-    monkeypatch.setattr(entity_matching, "CROWDED", 3)
+    monkeypatch.setattr(skew, "SIDE", 3)
     rows = [(i, "k", "article", {"title": "Editorial", "author": f"Ann {f.title()}", "year": str(2000 + i)}) for i, f in enumerate(FAMILIES)]
     hits = [(i, info("Editorial.", str(2000 + i), [f"Ann {f.title()}"])) for i, f in enumerate(FAMILIES)]
     got = entity_matching.matches(bib(spark, rows), spark.createDataFrame([(i, h, "c", "c") for i, h in hits], DBLP))
@@ -472,8 +485,8 @@ def test_crowded_titles_lose_no_candidate(spark, monkeypatch, hot):
     hits += [(60, info("Editorial notes", "1950", None)), (61, info("Editorial notes", "1950", None))]
     tables = bib(spark, rows), spark.createDataFrame([(i, h, "c", "c") for i, h in hits], DBLP)
     found = []
-    for crowded in (50, 3):
-        monkeypatch.setattr(entity_matching, "CROWDED", crowded)
+    for side in (50, 3):
+        monkeypatch.setattr(skew, "SIDE", side)
         found.append({r["entry_id"]: (r["hit_id"], round(r["confidence"], 9)) for r in entity_matching.matches(*tables).collect()})
     assert found[0] == found[1]
     assert {i: found[1][i][0] for i in (100, 101, 102, 103, 104)} == {100: 60, 101: 3, 102: 4, 103: 6, 104: 7}
