@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import bbl
-from citeloom.operators.skew import hot_first_join
-from citeloom.session import materialise
+from citeloom.operators.skew import hot_first_join, split_join
+from citeloom.session import materialise, release
 
 # Common short forms of given names.
 NICKNAMES = {
@@ -96,6 +96,7 @@ def _body_word(word: str) -> str | None:
 def parse(name: str) -> list[tuple[str, str, str]]:
     """Readings (family, given, initials) of a spelling, likeliest first; ``given`` is ``""`` if only initials show.
 
+    Two written-out words without a comma or capitals may stand in either order.
     A double given name keeps its hyphen and has one initial. For a body the family is its own name, the given name its kind, and there are no initials.
     """
     text = fold(name)
@@ -153,6 +154,8 @@ def parse(name: str) -> list[tuple[str, str, str]]:
         while more < len(plain) - 1 and initials(plain[more]) is not None:
             more += 1
         out.append(person(plain[:more], plain[more:]))
+    if len(plain) == 2 and initials(plain[0]) is None and initials(plain[1]) is None:
+        out.append(person(plain[1:], plain[:1]))
     return out
 
 
@@ -297,11 +300,11 @@ def written_pairs(forms: DataFrame) -> DataFrame:
 def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
     """(name_id, cluster): ``cluster`` is the smallest ``name_id`` of the spellings of one person or body.
 
-    NULL names and names without a letter are left out, rows of equal ``name_id`` count once; namesakes with the same
+    NULL names and names without a letter are left out, of rows of equal ``name_id`` the first name counts; namesakes with the same
     letters cannot be told apart.
     """
     spark, kind = names.sparkSession, names.schema["name_id"].dataType.simpleString()
-    spelled = names.filter("name IS NOT NULL AND name_id IS NOT NULL").select("name_id", "name").dropDuplicates(["name_id"])
+    spelled = names.filter("name IS NOT NULL AND name_id IS NOT NULL").groupBy("name_id").agg(F.min("name").alias("name"))
     seen = spelled.join(printed(papers, bib), "name", "left").select(
         "name_id", "name", F.coalesce("n", F.lit(0)).alias("n")
     )
@@ -318,17 +321,26 @@ def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
     readings = materialise(
         seen.mapInPandas(read, f"name_id {kind}, n long, at int, family string, given string, short string"), "p4-readings"
     )
-    # Of several readings the one that more other spellings share is taken.
-    shared = readings.groupBy(*_FORM).agg(F.count("*").alias("others"))
+    # Of several readings the one that more other spellings share is taken, then the one that is printed more often as the likeliest
+    # reading of a spelling. Both belong to the reading, so the two orders of a name come to the same one.
+    natural = F.sum(F.when(F.col("at") == 0, F.col("n") + 1).otherwise(0)).alias("natural")
+    shared = readings.groupBy(*_FORM).agg(F.count("*").alias("others"), natural)
     taken = (
         readings.join(shared, list(_FORM))
         .groupBy("name_id")
-        .agg(F.max_by(F.struct(*_FORM, "n"), F.struct("others", -F.col("at"))).alias("r"))
+        .agg(F.max_by(F.struct(*_FORM, "n"), F.struct("others", "natural", -F.col("at"))).alias("r"))
         .select("name_id", *[F.col(f"r.{c}").alias(c) for c in (*_FORM, "n")])
     )
-    form = F.xxhash64(*_FORM).alias("form")
-    named = materialise(taken.select("name_id", "n", *_FORM, form), "p4-names")
-    forms = materialise(named.groupBy("form", *_FORM).agg(F.sum("n").alias("n")), "p4-forms")
+    chosen = materialise(taken, "p4-taken")
+    seed = 0
+    while True:  # forms are numbered by a hash that tells all of them apart
+        form = F.xxhash64(F.lit(seed), *_FORM).alias("form")
+        forms = materialise(chosen.groupBy(form, *_FORM).agg(F.sum("n").alias("n")), "p4-forms")
+        if forms.groupBy("form").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+            break
+        seed += 1
+    named = materialise(chosen.select("name_id", form), "p4-names")
+    release(readings, chosen)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -388,12 +400,13 @@ def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
     # Every link leads to a form of higher rank, so chains end; each round halves what is left of them.
     while True:
         onward = links.select(F.col("form").alias("to"), F.col("to").alias("next"))
-        stepped = materialise(links.join(onward, "to").select("form", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")), "p4-links")
-        links = stepped.select("form", "to")
-        if stepped.filter("moved").isEmpty():
+        stepped = materialise(links.select("form", "to").join(onward, "to").select("form", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")), "p4-links")
+        release(links)
+        links, done = stepped, stepped.filter("moved").isEmpty()
+        if done:
             break
     per_form = named.groupBy("form").agg(F.count("*").alias("held"))
-    placed = hot_first_join(named, links.join(per_form, "form"), "form", "held", named.count()).select("name_id", "to")
+    placed = hot_first_join(named, links.select("form", "to").join(per_form, "form"), "form", "held", named.count()).select("name_id", "to")
     heads = placed.groupBy("to").agg(F.min("name_id").alias("cluster"))
     return placed.join(heads, "to").select("name_id", "cluster")
 
@@ -403,4 +416,4 @@ def same(found: DataFrame) -> DataFrame:
     found = materialise(found, "p4-clusters")
     a = found.select("cluster", F.col("name_id").alias("name_a"))
     b = found.select("cluster", F.col("name_id").alias("name_b"))
-    return a.join(b, "cluster").filter("name_a < name_b").select("name_a", "name_b")
+    return split_join(a, b, "cluster").filter("name_a < name_b").select("name_a", "name_b")

@@ -1,8 +1,10 @@
 """Problem 9: personal data in free text, found and replaced by typed placeholders.
 
-Method: anchor expansion. One Aho-Corasick pass finds the anchors: at-signs and their spelled-out forms, digit
-groups, identifier labels, street words, and the phrases names stand next to. Only lines with an anchor are looked at
-again, by deterministic parsers that expand from the anchor to the item's boundaries and validate it.
+Method: anchor expansion. One Aho-Corasick pass finds the anchors: at-signs and their spelled-out forms, schemes, digit
+groups, identifier and account labels, street words, and the phrases names stand next to. Only lines with an anchor are looked
+at again, by deterministic parsers that expand from the anchor to the item's boundaries and validate it (check digits of
+accounts and cards, impossible parts of social security numbers). A name found next to a cue is then found wherever else the
+text has it.
 """
 
 from __future__ import annotations
@@ -17,11 +19,16 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import map_with_ids
 
-EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address", "name"
+EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME, ACCOUNT = "email", "phone", "id_number", "address", "name", "account"
+#: What ``found`` lists; ``redacted`` also replaces account and card numbers.
+KINDS = (EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME)
 _AT, _DIGITS, _LABEL, _STREET, _CUE = 1, 2, 4, 8, 16
 
 # Cues and labels.
 AT_SIGNS = ("@", "(at)", "[at]", "(AT)", "[AT]")
+SCHEMES = ("tel:", "sms:", "callto:")
+ACCOUNT_LABELS = ("iban", "credit card", "card number", "card no", "visa", "mastercard", "amex")
+SSN_LABELS = ("ssn", "social security")
 ID_LABELS = (
     "ssn", "social security", "passport", "steuer-id", "steuer id", "tax id", "national insurance", "nino",
     "driver licence", "driver license", "driving licence", "driver's license", "id card", "personal id",
@@ -36,6 +43,13 @@ NAME_CUES = (
     "reporter:", "reviewer:", "Reviewer:", "assignee:", "owner:", "Cc:", "CC:", "idea by ", "Thanks to ", "thanks to ",
     "airing with ", "aired with ", " asked for this", "TODO(", "FIXME(", "(c) ", "(C) ", "© ", "User(", "|",
 )
+#: Phrases and titles that a name written in capitalised words follows.
+PROSE_CUES = (
+    "spoke with", "speak with", "talked to", "talked with", "met with", "meeting with", "worked with", "reported by", "suggested by",
+    "written by", "approved by", "requested by", "reviewed by", "proposed by", "found by", "on behalf of", "please contact", "reach out to",
+    "kind regards,", "best regards,",
+)
+HONORIFICS = ("Mr", "Mrs", "Ms", "Dr", "Prof")
 SERVICE_MAILBOXES = (
     "no-reply", "noreply", "donotreply", "do-not-reply", "git", "svc", "root", "ci", "bot", "mailer-daemon", "postmaster",
     "webmaster", "hostmaster", "abuse", "support", "info", "admin", "notifications", "security", "help", "sales", "team",
@@ -43,8 +57,6 @@ SERVICE_MAILBOXES = (
 FILE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "zip", "json", "yaml", "html", "css", "scss", "tsx")
 SERVICE_HOST_LABELS = ("bots", "bot", "lists", "list", "noreply", "users")
 
-_SKIPPED_LINES = ("diff --git ", "--- a/", "+++ b/")
-_SKIPPED_FORMS = re.compile(r"index [0-9a-f,]{4,}\.\.[0-9a-f]{4,64}(?: \d{6})?\r?$|Binary files [^\n]+ and [^\n]+ differ\r?$", re.M)
 _HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
 _SEPARATORS = "\"'`\\,;:=\t[](){}<>"
 
@@ -70,6 +82,7 @@ _AT_SIGN = re.compile(r"@| ?[(\[](?:at|AT)[)\]] ?")
 _HOST_PART = r"[^\W_](?:[\w\-]{0,62}[^\W_])?"
 _HOST = re.compile(rf"{_HOST_PART}(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?){_HOST_PART}){{1,20}}")
 LONGEST_MAILBOX = 64
+_PATH = re.compile(r"[~\w.\-]*/|[\w.\-]+\.git\b")
 _DOT = re.compile(r" ?[(\[](?:dot|DOT)[)\]] ?")
 _PHONE = re.compile(
     r"(?<![\w.+/\-])(?:"
@@ -86,6 +99,10 @@ _LABELS = re.compile(
     r"(?P<value>(?-i:[A-Z]{1,2}[ \-]?)?\d[\d \-]*(?:(?-i:[ \-]?[A-Z])\b)?)"
 )
 _WORD = r"[^\W\d_][^\W\d_'’.\-]*(?:['’.\-][^\W\d_'’.\-]+)*\.?"
+_TEL = re.compile(r"(?i)(?<!\w)(?:tel|sms|callto):(?P<value>\+?\(?\d[\d().\-]{5,20}\d)(?!\w)")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_CARD = re.compile(r"(?<![\w.+\-])\d{4}(?:[ \-]?\d{2,6}){2,4}(?![\w\-]|\.\d)")
+_CAPITALISED = rf"{_UP}[\w'’\-]{{1,40}}(?: {_UP}\.)?(?: {_UP}[\w'’\-]{{1,40}}){{1,2}}"
 _NAME = re.compile(rf"{_WORD}(?:(?:,? |~){_WORD}){{1,5}}$")
 _SIGNED = re.compile(
     r"^\W*(?:[\w\-]+-[Bb]y|[Aa]uthor|[Cc]ommitter|[Mm]aintainer|[Cc][Cc]|[Rr]eviewer|[Rr]eporter|[Aa]ssignee|[Oo]wner): *"
@@ -101,6 +118,8 @@ _NEXT_TO = (
     re.compile(r"(?:\([cC]\)|©) (?:\d{4}(?:-\d{4})? )?(?P<name>[^<>@\d]{1,120}?)$"),
     re.compile(r"\bUser\(\s*['\"](?P<name>[^'\"<>@\d]{1,60}(?:'[^'\"<>@\d]{1,60})?)['\"]"),
     re.compile(r"\b(?:reviewer|author|assignee|owner|maintainer|reporter)['\"]?: *(?P<q>['\"])(?P<name>[^\"<>@\d]{1,120}?)(?P=q)"),
+    re.compile(rf"\b(?i:{'|'.join(PROSE_CUES)}) (?P<name>{_CAPITALISED})"),
+    re.compile(rf"\b(?:{'|'.join(HONORIFICS)})\.? (?P<name>{_CAPITALISED})"),
 )
 
 
@@ -122,6 +141,9 @@ def _automaton():
     put(("Steuer-ID", "Steuer-Id", "Tax ID"), _LABEL)
     put(STREET_WORDS, _STREET)
     put(NAME_CUES, _CUE)
+    put((v for w in PROSE_CUES for v in (w + " ", w.capitalize() + " ")), _CUE)
+    put((h + end for h in HONORIFICS for end in (" ", ". ")), _CUE)
+    put((v for w in (*SCHEMES, *ACCOUNT_LABELS) for v in (w, w.upper(), w.capitalize(), w.title())), _DIGITS)
     found = ahocorasick.Automaton()
     for w, k in kinds.items():
         found.add_word(w, k)
@@ -155,12 +177,16 @@ def _emails(line: str) -> Iterator[tuple[int, int]]:
             continue
         if any(x in SERVICE_HOST_LABELS for x in labels[:-1]):
             continue
-        head = line[max(0, start - 200) : start]
-        if head.endswith(":") and "://" in head.rsplit(" ", 1)[-1]:
-            continue  # the password of an address with credentials
-        if head.endswith("@") or (head.endswith("/") and "@" in head.rsplit(" ", 1)[-1]):
+        before = line[start - 1 : start]
+        if before in (":", "/"):
+            word = line.rfind(" ", 0, start) + 1
+            if before == ":" and line.find("://", word, start) >= 0:
+                continue  # the password of an address with credentials
+            if before == "/" and line.find("@", word, start) >= 0:
+                continue  # a package name
+        if before == "@":
             continue  # a package name
-        if line[end : end + 1] == ":" and line[end + 1 : end + 2].strip():
+        if line[end : end + 1] == ":" and _PATH.match(line, end + 1):
             continue  # user@host:path
         yield start, end
 
@@ -170,11 +196,38 @@ def _phones(line: str) -> Iterator[tuple[int, int]]:
         digits = sum(ch.isdigit() for ch in m.group())
         if 10 <= digits <= 15:
             yield m.start(), m.end()
+    for m in _TEL.finditer(line):
+        if 7 <= sum(ch.isdigit() for ch in m["value"]) <= 15:
+            yield m.span("value")
+
+
+def _iban_holds(text: str) -> bool:
+    """The check digits of an account number: its number, letters as 10 to 35, leaves 1 by 97."""
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _luhn_holds(digits: str) -> bool:
+    """The check digit of a card number."""
+    total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0 and len(set(digits)) > 1
+
+
+def _accounts(line: str) -> Iterator[tuple[int, int]]:
+    for m in _IBAN.finditer(line):
+        if _iban_holds(m.group()):
+            yield m.span()
+    for m in _CARD.finditer(line):
+        digits = "".join(ch for ch in m.group() if ch.isdigit())
+        if 13 <= len(digits) <= 19 and digits[0] in "3456" and _luhn_holds(digits):
+            yield m.span()
 
 
 def _ids(line: str) -> Iterator[tuple[int, int]]:
     for m in _LABELS.finditer(line):
         value = m["value"].rstrip(" -")
+        if m["label"].lower() in SSN_LABELS and any(set(part) == {"0"} for part in re.split(r"[ \-]", value)):
+            continue  # no part of such a number is zero
         if 7 <= sum(ch.isalnum() for ch in value) <= 16:
             yield m.start("value"), m.start("value") + len(value)
 
@@ -230,8 +283,6 @@ class Finder:
             lines[start] = lines.get(start, 0) | kind
         out: list[tuple[int, int, str]] = []
         for start, kinds in lines.items():
-            if text.startswith(_SKIPPED_LINES, start) or _SKIPPED_FORMS.match(text, start):
-                continue
             if m := _HUNK.match(text, start):  # the text behind a hunk's header
                 start = m.end()
             stop = text.find("\n", start)
@@ -254,12 +305,26 @@ class Finder:
             if kinds & _STREET:
                 take((m.span() for m in _ADDRESSES.finditer(line)), ADDRESS)
             if kinds & _DIGITS:
+                take(_accounts(line), ACCOUNT)
                 take(_apart(_phones(line), line) if dense else _phones(line), PHONE)
             if kinds & _AT:
                 take(_emails(line), EMAIL)
             if kinds & _CUE:
                 take(_names(line), NAME)
-        return sorted(out)
+        out.sort()
+        return self._repeated(text, out)
+
+    def _repeated(self, text: str, out: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """With the further places of the names that stand next to a cue somewhere."""
+        names = {text[a:b] for a, b, kind in out if kind == NAME}
+        more = []
+        for m in re.finditer("|".join(map(re.escape, sorted(names, key=len, reverse=True))), text) if names else ():
+            a, b = m.span()
+            i = bisect_left(out, (a, b))
+            free = (i == len(out) or b <= out[i][0]) and (i == 0 or out[i - 1][1] <= a)
+            if free and not text[a - 1 : a].isalnum() and not text[b : b + 1].isalnum():
+                more.append((a, b, NAME))
+        return sorted(out + more) if more else out
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -279,7 +344,7 @@ def found(documents: DataFrame) -> DataFrame:
             rows = [
                 (d, k, x)
                 for d, t in zip(pdf["doc_id"], pdf["text"])
-                for k, x in sorted({(k, t[a:b]) for a, b, k in finder.spans(t)})
+                for k, x in sorted({(k, t[a:b]) for a, b, k in finder.spans(t) if k in KINDS})
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_text"])
 

@@ -20,7 +20,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return survivorship.survivors(table(spark, folder, "bib_versions")).select("dup_group", "field_name", "version_id")
+    """Every field is a bundle of its own, as the project's merge is field by field; the rules decide between equals."""
+    chosen = survivorship.survivors(table(spark, folder, "bib_versions"), survivorship.SINGLE, survivorship.RULES)
+    return chosen.select("dup_group", "field_name", "version_id")
 
 
 def p2_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from citeloom.llm.survivorship import FILLERS
+
 _SQUEEZE = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 
 
@@ -59,21 +61,17 @@ n AS (SELECT k, count(*) AS n FROM f GROUP BY k),
 
 _FIELD = "fields['{0}']"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_FILLERS = (
-    "na nil none null tba tbd todo fixme unknown untitled anonymous notitle unknowntitle unknownauthor unknownauthors "
-    "noauthor toappear inpress forthcoming submitted nd x xx xxx test tmp temp missing"
-).split()
 
 
-def _survivors() -> str:
+def _usable() -> str:
     values = {"key": "key", "entry_type": "entry_type"}
     fields = ("key", "entry_type", "title", "author", "year", "journal", "doi", "pages")
     rows = " UNION ALL ".join(
-        f"SELECT dup_group, version_id, verified_source, fetched_at, '{f}' AS field_name, "
+        f"SELECT dup_group, version_id, verified_source, fetched_at, '{f}' AS field_name, {values.get(f, _FIELD.format(f))} AS whole, "
         f"{_TRIM.format(values.get(f, _FIELD.format(f)))} AS v FROM bib_versions WHERE dup_group IS NOT NULL"
         for f in fields
     )
-    fillers = ", ".join(f"'{x}'" for x in _FILLERS)
+    fillers = ", ".join(f"'{x}'" for x in FILLERS)
     return rf"""
 WITH raw AS ({rows}),
 s AS (SELECT *, {squeeze("v")} AS bare, regexp_replace(v, '[{{}}]', '', 'g') AS plain FROM raw WHERE v IS NOT NULL),
@@ -89,7 +87,12 @@ ok AS (
       WHEN 'key' THEN NOT regexp_matches(plain, '^\W*[A-Za-z]{{0,5}}\W*\d{{1,3}}\W*$')
       WHEN 'author' THEN NOT regexp_matches(
         v, '(?i)(\bet[\s~]+al\b\.?|\band\s+others\b|\bet[\s~]+alii\b)[\s.\]}})"'']*$')
-      ELSE true END),
+      ELSE true END)
+"""
+
+
+def _survivors() -> str:
+    return _usable() + """,
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY dup_group, field_name ORDER BY
       CASE verified_source WHEN 'arXiv' THEN 2 WHEN 'DBLP' THEN 1 ELSE 0 END DESC,
@@ -99,8 +102,54 @@ SELECT dup_group, field_name, version_id FROM ranked WHERE rn = 1
 """
 
 
+def _records() -> str:
+    """All choices of DOI, title, authors and publication of each group, by brute force over its versions."""
+    fields = ("key", "entry_type", "title", "author", "year", "journal", "doi", "pages")
+    columns = ", ".join(f"max(whole) FILTER (field_name = '{f}') AS \"{f}\"" for f in fields)
+    return _usable() + rf""",
+v AS (
+  SELECT dup_group, version_id, CASE verified_source WHEN 'arXiv' THEN 2 WHEN 'DBLP' THEN 1 ELSE 0 END::HUGEINT AS cls,
+    coalesce(epoch_us(fetched_at), 0)::HUGEINT AS at_, {columns},
+    coalesce(max(bare) FILTER (field_name = 'doi'), '') AS sd, coalesce(max(bare) FILTER (field_name = 'title'), '') AS st
+  FROM ok GROUP BY ALL),
+w AS (SELECT *, cls * 4611686018427387904 + at_ + 1 AS t FROM v),
+one AS (SELECT DISTINCT dup_group FROM v),
+d AS (
+  SELECT dup_group, doi, sd, t FROM (
+    SELECT * FROM w WHERE doi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dup_group, cls ORDER BY at_ DESC, version_id) = 1)
+  UNION ALL SELECT dup_group, NULL, '', 0 FROM one),
+heads AS (SELECT dup_group, list(sd) AS hs FROM d WHERE sd <> '' GROUP BY dup_group),
+ti AS (
+  SELECT dup_group, title, sd, st, t FROM (
+    SELECT w.*, CASE WHEN sd = '' THEN '' WHEN list_contains(hs, sd) THEN sd ELSE 'other' END AS s
+    FROM w LEFT JOIN heads USING (dup_group) WHERE title IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY w.dup_group, cls, s ORDER BY at_ DESC, version_id) = 1)
+  UNION ALL SELECT dup_group, NULL, '', '', 0 FROM one),
+dt AS (
+  SELECT dup_group, row_number() OVER () AS choice, doi, title, d.sd AS d_sd, ti.st AS t_st, (d.t > 0)::HUGEINT + (ti.t > 0)::HUGEINT AS n, d.t + ti.t AS t
+  FROM d JOIN ti USING (dup_group) WHERE ti.sd = '' OR d.sd = '' OR ti.sd = d.sd),
+a AS (
+  SELECT choice, arg_max(w.author, w.t) AS author, max(w.t) AS t FROM dt JOIN w USING (dup_group)
+  WHERE w.author IS NOT NULL AND (w.st = '' OR t_st = '' OR w.st = t_st) GROUP BY choice),
+p AS (
+  SELECT choice, arg_max(struct_pack(j := w.journal, y := w.year, p := w.pages), (k, w.t)) AS pub, max(k) AS k, arg_max(w.t, (k, w.t)) AS t
+  FROM (SELECT *, ((journal IS NOT NULL)::INT + (year IS NOT NULL)::INT + (pages IS NOT NULL)::INT)::HUGEINT AS k FROM w) w JOIN dt USING (dup_group)
+  WHERE k > 0 AND (w.journal IS NULL OR w.sd = '' OR d_sd = '' OR w.sd = d_sd) GROUP BY choice),
+best AS (
+  SELECT dup_group, arg_max(struct_pack(doi := doi, title := title, author := a.author, pub := pub),
+    ((dt.n + (a.t IS NOT NULL)::INT + coalesce(p.k, 0)), (dt.t + coalesce(a.t, 0) + coalesce(p.t, 0)))) AS b
+  FROM dt LEFT JOIN a USING (choice) LEFT JOIN p USING (choice) GROUP BY dup_group),
+ke AS (
+  SELECT dup_group, arg_max(key, t) FILTER (key IS NOT NULL) AS key, arg_max(entry_type, t) FILTER (entry_type IS NOT NULL) AS entry_type
+  FROM w GROUP BY dup_group)
+SELECT dup_group, ke.key, ke.entry_type, b.title, b.author, b.pub.j AS journal, b.pub.y AS year, b.pub.p AS pages, b.doi
+FROM best JOIN ke USING (dup_group)
+"""
+
+
 SQL: dict[str, str] = {
     "p2_found": _survivors(),
+    "p2_records": _records(),
     "p3_found": r"""
 SELECT section_id, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '\s+'), lambda w: length(w))) > 4000
                         THEN 'forced' ELSE 'clean' END AS cut

@@ -175,6 +175,37 @@ def test_leaked(spark):
     assert leakage.leaked(documents(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize("side", [10**6, 20])
+def test_many_items_leak_like_few(spark, monkeypatch, side):
+    """Over 5,000 items, whose buckets stay distributed, against one table of all; a stock phrase stands in a third of both."""
+    from citeloom.operators import skew
+
+    monkeypatch.setattr(skew, "SIDE", side)
+    r = random.Random(18)
+    stock = " ".join(r.choices(WORDS, k=12))
+    texts = [" ".join(r.choices(WORDS, k=r.randint(18, 30))) + (f" {stock}" if i % 3 == 0 else "") for i in range(5200)]
+    items = [(i, t) for i, t in enumerate(texts)] + [(9000, None), (9001, "")]
+    rows = []
+    for i in range(120):
+        w = r.choice(texts).split()
+        at = r.randint(0, 3)
+        part = w[at : at + r.randint(15, 30)]
+        if len(part) > 14:
+            part[r.randint(0, len(part) - 1)] = "other"
+        rows.append((i // 2 if i % 7 else None, " ".join(r.choices(WORDS, k=8) + part + r.choices(WORDS, k=8)) + (f" {stock}" if i % 3 else "")))
+    table = spark.createDataFrame(items, "item_id long, item_text string")
+    got = [tuple(x) for x in leakage.leaked_from_many(documents(spark, rows), table.filter("item_text IS NOT NULL")).collect()]
+    tables = leakage.WuManber(items)
+    expected = {}
+    for d, t in rows:
+        for i, n in tables.leaks(t).items():
+            expected[d, i] = max(n, expected.get((d, i), 0))
+    assert {(d, i): n for d, i, n in got} == expected and len(got) == len(expected) > 40
+    monkeypatch.setattr(leakage, "TABLE_BYTES", 10)
+    small = leakage.leaked(documents(spark, rows[:10]), table)
+    assert {(x["doc_id"], x["item_id"]) for x in small.collect()} == {(d, i) for d, t in rows[:10] for i in tables.leaks(t)}
+
+
 # ---------------------------------------------------------------- problem 9
 
 TEXT = """commit 497eb66076f8abb1e71ac11ace88d8c3d63993fb
@@ -253,3 +284,38 @@ def test_lines_without_spaces_and_with_git_words_are_searched():
     assert kinds("@@ -1,2 +1,3 @@ call('+49 151 1234 5678')") == {("phone", "+49 151 1234 5678")}
     assert not kinds("index 9fe1445..f97fde7 100644\n@@ -652,7 +652,7 @@\nBinary files a/x and b/y differ\n")
     assert not kinds("zcmV+b0" + "Qr7+4915112345678Zk/0049123456789012x" * 3)
+
+
+def test_schemes_accounts_and_checks():
+    finder = pii.Finder()
+    spans = lambda t: [(k, t[a:b]) for a, b, k in finder.spans(t)]
+    assert spans("tel:4155550123 mailto:ann@mailhaus.org") == [("phone", "4155550123"), ("email", "ann@mailhaus.org")]
+    assert spans("IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432") == [("account", "DE89 3704 0044 0532 0130 00"), ("account", "GB82WEST12345698765432")]
+    assert not {k for k, _ in spans("IBAN DE88 3704 0044 0532 0130 00")} & {"account"}  # wrong check digits
+    assert spans("card 4111 1111 1111 1111, not 4111 1111 1111 1112") == [("account", "4111 1111 1111 1111")]
+    assert spans("SSN: 000-12-3456, SSN: 123-00-4567") == [] and spans("SSN: 123-45-6789") == [("id_number", "123-45-6789")]
+    assert spans("write to ann.miller@mailhaus.org:thanks") == [("email", "ann.miller@mailhaus.org")]
+    assert spans("git@mailhaus.org:core/web.git ann@mailhaus.org:~/x") == []
+    assert spans("--- a/x\n+++ b/ann@mailhaus.org\n") == [("email", "ann@mailhaus.org")]
+    assert spans("postgres://" + "u" * 300 + ":pw@db.mailhaus.org/main") == []
+    text = "Thanks to Maria Lopez for this\nMaria Lopez knows Maria Lopezs"
+    assert pii.redact_text(finder, text) == "Thanks to [NAME] for this\n[NAME] knows Maria Lopezs"
+
+
+def test_account_numbers_are_redacted_but_not_listed(spark):
+    df = documents(spark, [(1, "IBAN DE89 3704 0044 0532 0130 00")])
+    assert pii.found(df).count() == 0 and pii.redacted(df).first()["text"] == "IBAN [ACCOUNT]"
+
+
+HELD_OUT = (  # phrasings that no cue was written for, and how each is met
+    ("Author: {} <x@mailhaus.org>", True), ("Tested-by: {} <x@mailhaus.org>", True), ("Dr. {} agreed.", True), ("I spoke with {} yesterday.", True),
+    ("As requested by {} last week", True), ("Please contact {} first", True), ("Best regards, {}", True), ("TODO({}): fix", True),
+    ("{} broke the build again", False), ("Ask {} about it", False), ("This is {}'s work", False), ("In memory of {}.", False),
+)
+
+
+def test_names_in_held_out_phrasings():
+    finder = pii.Finder()
+    for phrase, expected in HELD_OUT:
+        text = phrase.format("Ilse Marvoken")
+        assert (("name", "Ilse Marvoken") in {(k, text[a:b]) for a, b, k in finder.spans(text)}) == expected, phrase
