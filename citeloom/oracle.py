@@ -96,22 +96,29 @@ SELECT ord, kind, pos::INTEGER AS pos, title, md5(content) AS content_md5, array
 FROM t WHERE regexp_matches(lower(title), '{_PHRASES}')
 """
 
-_REWRITE = rf"""
-WITH last AS ({_LAST}),
-keys AS (SELECT key, {_KEY} AS new FROM last WHERE key IS NOT NULL),
-uses AS (
+
+def _rewriting(sections: str) -> str:
+    return rf"""uses AS (
   SELECT section_id, unnest(range(len(old))) AS at_, unnest(old) AS old, unnest(inn) AS inn
-  FROM (SELECT section_id, regexp_extract_all(content, '{_CITE}', 0) AS old, regexp_extract_all(content, '{_CITE}', 1) AS inn FROM sections)),
+  FROM (SELECT section_id, regexp_extract_all(content, '{_CITE}', 0) AS old, regexp_extract_all(content, '{_CITE}', 1) AS inn FROM {sections})),
 k AS (
   SELECT section_id, at_, old, unnest(range(len(string_split(inn, ',')))) AS n, {trim("unnest(string_split(inn, ','))")} AS key FROM uses),
 m AS (
   SELECT section_id, at_, old, split_part(old, '{{', 1) || '{{' || string_agg(coalesce(new, k.key), ', ' ORDER BY n) || '}}' AS text
   FROM k LEFT JOIN keys USING (key) GROUP BY section_id, at_, old),
 swaps AS (
-  SELECT section_id, list(struct_pack(a := old, b := text) ORDER BY at_) AS s FROM m GROUP BY section_id)
-SELECT section_id, md5(CASE WHEN s IS NULL THEN content ELSE
-  list_reduce(list_prepend(struct_pack(a := content, b := ''), s), lambda x, y: struct_pack(a := replace(x.a, y.a, y.b), b := '')).a END) AS normalized_md5
-FROM sections LEFT JOIN swaps USING (section_id)
+  SELECT section_id, list(struct_pack(a := old, b := text) ORDER BY at_) AS s FROM m GROUP BY section_id),
+"""
+
+
+_FOLDED = """CASE WHEN s IS NULL THEN content ELSE
+  list_reduce(list_prepend(struct_pack(a := content, b := ''), s), lambda x, y: struct_pack(a := replace(x.a, y.a, y.b), b := '')).a END"""
+_REWRITE = rf"""
+WITH last AS ({_LAST}),
+keys AS (SELECT key, {_KEY} AS new FROM last WHERE key IS NOT NULL),
+{_rewriting('sections')}
+done AS (SELECT section_id, md5({_FOLDED}) AS normalized_md5 FROM sections LEFT JOIN swaps USING (section_id))
+SELECT * FROM done
 """
 
 _AUTHORS = (
@@ -229,6 +236,37 @@ SELECT ord, key, by_arxiv OR by_dblp AS verified,
 FROM m
 """
 
+_PIPELINE = rf"""
+WITH docs AS (
+  SELECT ord, paper_id, '\documentclass{{article}}' || chr(10) || string_agg('\' || kind || '{{' || coalesce(title, '') || '}}' || chr(10) || content, chr(10)
+    ORDER BY pos, section_id) AS latex
+  FROM sections WHERE content IS NOT NULL GROUP BY ord, paper_id),
+parts AS ({_parts('section')} UNION ALL {_parts('subsection')}),
+found AS (
+  SELECT row_number() OVER () AS section_id, * FROM (
+    SELECT *, {trim(f"regexp_extract(part, '{_HEAD}', 1)")} AS title, {trim(f"regexp_replace(part, '{_HEAD}', '')")} AS content FROM parts)
+  WHERE regexp_matches(lower(title), '{_PHRASES}')),
+items AS (
+  SELECT entry_id, regexp_extract(raw, '{_ITEM}', 1) AS key, {_ITEM_AUTHOR} AS author,
+    nullif(regexp_extract(raw, '\b(19\d{{2}}|20\d{{2}})\b', 1), '') AS year, {clean_title(_ITEM_TITLE)} AS title
+  FROM ({_ITEMS})),
+last AS (
+  SELECT i.* FROM items i JOIN bib b USING (entry_id) WHERE b.ord IN (SELECT ord FROM docs)
+  QUALIFY row_number() OVER (PARTITION BY i.key ORDER BY ord DESC, file_ord DESC, pos DESC, entry_id DESC) = 1),
+keys AS (SELECT key, {norm_key('author', 'title', 'year')} AS new FROM last),
+{_rewriting('found')}
+normal AS (SELECT f.*, {_FOLDED} AS normalized FROM found f LEFT JOIN swaps USING (section_id)),
+body AS (
+  SELECT ord, string_agg('\section{{' || title || '}}' || chr(10) || chr(10) || normalized || chr(10) || chr(10), ''
+    ORDER BY CASE kind WHEN 'section' THEN 0 ELSE 1 END, pos) AS body FROM normal GROUP BY ord),
+told AS ({_LAST_PAPERS}),
+r AS (
+  SELECT d.ord, d.paper_id, '% Paper ID: ' || d.paper_id || chr(10) || '% Title: ' || {described('title', 'Unknown Title')} || chr(10)
+    || '% Authors: ' || {described('authors', 'Unknown Authors')} || chr(10) || chr(10) || coalesce(body, '') AS part
+  FROM docs d LEFT JOIN told USING (paper_id) LEFT JOIN body ON body.ord = d.ord)
+SELECT ord, paper_id, md5(part) AS part_md5, length(part)::INTEGER AS size FROM r
+"""
+
 SQL: dict[str, str] = {
     "clean_titles": f"SELECT entry_id, {clean(TITLE)} AS clean, {clean_title(TITLE)} AS title FROM bib WHERE {TITLE} IS NOT NULL",
     "norm_citation_key": f"SELECT entry_id, {_KEY} AS normalized_key FROM bib",
@@ -303,6 +341,13 @@ SELECT ord, paper_id, CASE WHEN ord % 2 = 0 THEN 'Unknown Title' ELSE {described
 FROM ({_LAST_PAPERS})
 """,
     "verify_by_search": _BY_SEARCH,
+    "survey_pipeline": _PIPELINE,
+    "bib_lookup": "SELECT entry_id, ord, entry_type FROM bib WHERE key = 'b1'",
+    "bbl_scan": r"""
+WITH f AS (SELECT DISTINCT ord, paper_id, regexp_replace('sec/s' || section_id || '.tex', '\d\.tex$', '.bbl') AS path
+  FROM sections WHERE content IS NOT NULL AND ord % 5 <> 0)
+SELECT ord, paper_id, (row_number() OVER (PARTITION BY ord ORDER BY path) - 1)::INTEGER AS file_ord, path FROM f
+""",
     "bibtex_render": f"""
 SELECT key, normalized_key, '@' || coalesce(entry_type, 'article') || '{{' || normalized_key || ',' || chr(10) || coalesce(body, '') || '}}' || chr(10) || chr(10) AS bibtex
 FROM (

@@ -219,11 +219,11 @@ def included_files(spark: SparkSession, folder: str) -> DataFrame:
     return latex.select("ord", "paper_id", _joined("included").alias("included"))
 
 
-def packed_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(paper_id, content): the papers' source files in ZIP archives or (papers of an even number) compressed tars, figures beside them."""
+def pack(files: DataFrame) -> DataFrame:
+    """(paper_id, content): (ord, paper_id, path, content) files in ZIP archives or (papers of an even number) compressed tars, figures beside them."""
 
     @F.pandas_udf("binary")
-    def pack(number: pd.Series, files: pd.Series) -> pd.Series:
+    def packed(number: pd.Series, files: pd.Series) -> pd.Series:
         out = []
         for n, members in zip(number, files):
             data = {m["path"]: m["content"].encode() for m in members} | {"fig/a.png": b"\xff\xd8", "../outside.tex": b"no"}
@@ -241,12 +241,12 @@ def packed_archives(spark: SparkSession, folder: str) -> DataFrame:
             out.append(held.getvalue())
         return pd.Series(out)
 
-    grouped = paper_files(spark, folder).groupBy("ord", "paper_id").agg(F.collect_list(F.struct("path", "content")).alias("files"))
-    return grouped.select("paper_id", pack("ord", "files").alias("content"))
+    grouped = files.groupBy("ord", "paper_id").agg(F.collect_list(F.struct("path", "content")).alias("files"))
+    return grouped.select("paper_id", packed("ord", "files").alias("content"))
 
 
 def archive_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = archive.one_archive(materialise(archive.read_files(packed_archives(spark, folder)), "texts"))
+    files = archive.one_archive(materialise(archive.read_files(pack(paper_files(spark, folder))), "texts"))
     return files.select("paper_id", "path", F.md5("content").alias("content_md5"))
 
 
@@ -288,6 +288,40 @@ def verify_by_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def bbl_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The ``.bbl`` files of every paper, in whatever folder, numbered by path; other endings and cases are none."""
+    named = paper_files(spark, folder).withColumn("path", F.when(F.col("path").startswith("sec/"), F.regexp_replace("path", r"\d\.tex$", ".bbl")).otherwise(F.col("path")))
+    cased = named.withColumn("path", F.when(F.col("ord") % 5 == 0, F.regexp_replace("path", r"\.bbl$", ".BBL")).otherwise(F.col("path")))
+    return latex_source.bbl_files(cased.dropDuplicates(["ord", "path"])).select("ord", "paper_id", "file_ord", "path")
+
+
+def bib_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of the key that most papers use."""
+    return bibliography.get(table(spark, folder, "bib"), "b1").select("entry_id", "ord", "entry_type")
+
+
+def whole_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """``packed_archives`` with headings over the sections and the papers' ``.bbl`` files."""
+    head = F.concat(F.lit("\\"), F.col("kind"), F.lit("{"), F.coalesce("title", F.lit("")), F.lit("}\n"))
+    s = table(spark, folder, "sections").filter("content IS NOT NULL")
+    heads = s.select("ord", F.concat(F.lit("sec/s"), F.col("section_id").cast("string"), F.lit(".tex")).alias("path"), head.alias("head"))
+    files = paper_files(spark, folder).join(heads, ["ord", "path"], "left")
+    files = files.select("ord", "paper_id", "path", F.concat(F.coalesce("head", F.lit("")), "content").alias("content"))
+    bbl = bbl_documents(spark, folder).join(s.select("ord", "paper_id").distinct(), "ord")
+    path = F.concat(F.lit("out/f"), F.lpad(F.col("file_ord").cast("string"), 4, "0"), F.lit(".bbl"))
+    return pack(files.unionByName(bbl.select("ord", "paper_id", path.alias("path"), "content")))
+
+
+def survey_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole way: archives to the survey text of each paper, citations rewritten against all papers' bibliographies."""
+    papers = table(spark, folder, "sections").filter("content IS NOT NULL").select("ord", "paper_id").distinct()
+    text = lambda c, name: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name} = {{ "), F.col(c), F.lit(" }\n"))).otherwise("")
+    told = _last_papers(spark, folder).select(F.col("paper_id").alias("arxiv_id"), F.concat(text("title", "title"), text("authors", "author")).alias("bibtex"))
+    archives = materialise(whole_archives(spark, folder), "archives")
+    parts = pipeline.build(papers, archives, told).survey_parts()
+    return parts.select("ord", "paper_id", F.md5("part").alias("part_md5"), F.length("part").alias("size"))
+
+
 def bibtex_render(spark: SparkSession, folder: str) -> DataFrame:
     return bibliography.rendered(bibliography.consolidate(table(spark, folder, "bib"), tie=TIE))
 
@@ -348,6 +382,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         archive_files,
         described_papers,
         verify_by_search,
+        bbl_scan,
+        bib_lookup,
+        survey_pipeline,
         bibtex_render,
         survey_render,
         paper_metadata,
