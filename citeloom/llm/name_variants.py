@@ -2,13 +2,14 @@
 
 Method: noisy-channel attribution. Frequent forms are the candidate canonical ones; a candidate's prior is how often
 its spellings are printed, the channel knows one-letter typos, abbreviated and dropped given names, nicknames and
-reordering, and every form is attached to its maximum posterior. Under each of its blocking keys a form is judged against
+reordering (how likely each is, is estimated from the spellings), and every form is attached to its maximum posterior. Under each of its blocking keys a form is judged against
 all holders that the channel tells apart: written-out names meet every written-out name that is close in family and given
 name; initials meet the first in rank of each family name, with and without further initials.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -50,8 +51,11 @@ BODY_WORDS = {
 BODY_SHORT = {"wg": "group"}
 _BODY_NOISE = ("the", "of", "for", "working")
 
-#: Log-likelihoods of the channel.
-SAME, DROPPED, NICKNAME, INITIAL, TYPO = 0.0, -0.5, -2.0, -2.5, -4.0
+#: What the channel does: letters mistyped, further initials dropped, nicknames used, given names abbreviated.
+OPERATIONS = ("typos", "dropped", "nicknames", "initials")
+#: Log-likelihood of each before any spelling is seen, and how many spellings that belief counts for.
+BELIEF = dict(zip(OPERATIONS, (-4.0, -0.5, -2.0, -2.5)))
+BELIEF_COUNTS = 1000
 #: A typo is believed only in words long enough that two real names are hardly ever one letter apart; given names may
 #: be shorter, since there the whole family name agrees.
 FAMILY_LETTERS = 5
@@ -194,38 +198,44 @@ def _initial_keys(family: str, given: str, short: str) -> list[tuple[str, str, b
     return [(k, c, a, b) for (k, c), (a, b) in out.items() if a or b]
 
 
-def _given(a: str, b: str) -> float | None:
+def _given(a: str, b: str) -> tuple[int, int] | None:
+    """(typos, nicknames) that make one given name of the other."""
     x, y = a.replace("-", ""), b.replace("-", "")
     if x == y:
-        return SAME
+        return 0, 0
     if b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ()):
-        return NICKNAME
+        return 0, 1
     if set(NICKNAMES.get(a, ())) & set(NICKNAMES.get(b, ())):
-        return 2 * NICKNAME
+        return 0, 2
     if ("-" in a) != ("-" in b) and a.split("-")[0] == b.split("-")[0]:
-        return NICKNAME
-    return TYPO if min(len(x), len(y)) >= GIVEN_LETTERS and _one_edit(x, y) else None
+        return 0, 1
+    return (1, 0) if min(len(x), len(y)) >= GIVEN_LETTERS and _one_edit(x, y) else None
 
 
-def _likelihood(a: tuple[str, str, str], b: tuple[str, str, str]) -> float | None:
-    """Log-likelihood that form ``b`` is printed as ``a``; None where the channel cannot do that."""
-    score = SAME
+def channel(a: tuple[str, str, str], b: tuple[str, str, str]) -> tuple[int, int, int, int] | None:
+    """How often each of ``OPERATIONS`` is needed to print form ``b`` as ``a``; None where the channel cannot do that."""
+    typos = 0
     if a[0] != b[0]:
         if min(len(a[0]), len(b[0])) < FAMILY_LETTERS or not _one_edit(a[0], b[0]):
             return None
-        score += TYPO
+        typos = 1
     if not a[2] or not b[2]:
-        kind = _given(a[1], b[1]) if a[1] and b[1] and not a[2] and not b[2] else None
-        return None if kind is None else score + kind
+        given = _given(a[1], b[1]) if a[1] and b[1] and not a[2] and not b[2] else None
+        return None if given is None else (typos + given[0], 0, given[1], 0)
     middle_a, middle_b = a[2][1:], b[2][1:]
     if middle_a and middle_b and middle_a != middle_b:
         return None
-    if middle_a != middle_b:
-        score += DROPPED
+    dropped = int(middle_a != middle_b)
     if a[1] and b[1]:
         given = _given(a[1], b[1])
-        return None if given is None else score + given
-    return score + INITIAL if a[2][0] == b[2][0] else None
+        return None if given is None else (typos + given[0], dropped, given[1], 0)
+    return (typos, dropped, 0, 1) if a[2][0] == b[2][0] else None
+
+
+def _likelihood(a: tuple[str, str, str], b: tuple[str, str, str], weights: dict[str, float] = BELIEF) -> float | None:
+    """Log-likelihood that form ``b`` is printed as ``a``; None where the channel cannot do that."""
+    done = channel(a, b)
+    return None if done is None else sum(n * weights[o] for o, n in zip(OPERATIONS, done))
 
 
 def raw_names(raw: Column) -> Column:
@@ -297,6 +307,31 @@ def written_pairs(forms: DataFrame) -> DataFrame:
     return found.select("form", F.col("c.form").alias("c_form"))
 
 
+def _posterior(weights: dict[str, float]) -> Column:
+    """Log of prior (how often the candidate is printed) times channel."""
+    score = F.log(F.col("c_n") + 1.0)
+    for o in OPERATIONS:
+        score = score + F.col(o) * weights[o]
+    return score
+
+
+def estimated(judged: DataFrame) -> dict[str, float]:
+    """Log-likelihoods of the channel's operations: how often they are needed where every form goes to its maximum posterior.
+
+    One step of hard expectation maximisation from ``BELIEF``, which weighs as ``BELIEF_COUNTS`` spellings: few data leave it as it is.
+    """
+    best = judged.groupBy("form").agg(F.max_by(F.struct(*OPERATIONS), F.struct(_posterior(BELIEF).alias("p"), "to")).alias("o"))
+    total, *done = best.agg(F.count("*"), *[F.coalesce(F.sum(f"o.{o}"), F.lit(0)) for o in OPERATIONS]).first()
+    rate = {o: (n + BELIEF_COUNTS * math.exp(BELIEF[o])) / (total + BELIEF_COUNTS) for o, n in zip(OPERATIONS, done)}
+    return {o: math.log(r) for o, r in rate.items()}
+
+
+def attached(forms: DataFrame, judged: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(form, to): every form with its maximum posterior, itself where it has no candidate."""
+    best = judged.groupBy("form").agg(F.max_by("to", F.struct(_posterior(weights).alias("p"), "to")).alias("to"))
+    return forms.select("form").join(best, "form", "left").select("form", F.coalesce("to", "form").alias("to"))
+
+
 def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
     """(name_id, cluster): ``cluster`` is the smallest ``name_id`` of the spellings of one person or body.
 
@@ -387,16 +422,14 @@ def clusters(names: DataFrame, papers: DataFrame, bib: DataFrame) -> DataFrame:
                 a, b = (r.family, r.given, r.short), (r.c_family, r.c_given, r.c_short)
                 mine = (bool(r.given), r.n, len(r.given) + len(r.short), r.form)
                 other = (bool(r.c_given), r.c_n, len(r.c_given) + len(r.c_short), r.c_form)
-                if other > mine and (score := _likelihood(a, b)) is not None:
-                    rows.append((r.form, r.c_form, score, r.c_n))
-            yield pd.DataFrame(rows, columns=["form", "to", "channel", "c_n"])
-
-    judged = candidates.mapInPandas(judge, "form long, to long, channel double, c_n long")
-    posterior = F.col("channel") + F.log(F.col("c_n") + 1.0)
-    best = judged.groupBy("form").agg(F.max_by("to", F.struct(posterior.alias("p"), "to")).alias("to"))
-    links = materialise(
-        forms.select("form").join(best, "form", "left").select("form", F.coalesce("to", "form").alias("to")), "p4-links"
-    )
+                if other > mine and (done := channel(a, b)) is not None:
+                    rows.append((r.form, r.c_form, *done, r.c_n))
+            yield pd.DataFrame(rows, columns=["form", "to", *OPERATIONS, "c_n"])
+
+    counts = ", ".join(f"{o} int" for o in OPERATIONS)
+    judged = materialise(candidates.mapInPandas(judge, f"form long, to long, {counts}, c_n long"), "p4-judged")
+    release(keyed)
+    links = materialise(attached(forms, judged, estimated(judged)), "p4-links")
     # Every link leads to a form of higher rank, so chains end; each round halves what is left of them.
     while True:
         onward = links.select(F.col("form").alias("to"), F.col("to").alias("next"))

@@ -2,7 +2,8 @@
 
 Method: exact-complement hashing on the counts of each length. Lengths are at most the capacity, so the histogram and
 the plan made from it have a bounded size at any number of texts. The plan opens a container with the longest length
-left, looks up whether a single length, a pair or a triple fills the gap exactly under the counts still available,
+left, looks up whether a single length, a pair or a triple fills the gap exactly under the counts still available (sums of one and
+of two lengths are indexed; a triple is a length whose rest is in the index of pairs, as there may be over a billion triples),
 places the best fit where none does, and repeats each pattern as often as the counts allow. Texts then find their
 container by their rank within their length; ranks come from per-task counts and prefix sums, so no length, however
 common, is gathered anywhere.

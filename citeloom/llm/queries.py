@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import cooccurrence, entity_matching, format_duplicates, leakage, name_variants, packing, pii, splitting, survivorship
-from citeloom.session import table
+from citeloom.session import materialise, table
 
 
 def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +38,24 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "sections"), "section_id", "content")
 
 
+def p3_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text put together again from its pieces without their overlaps, whether all fit and overlap as they should."""
+    parts = splitting.pieces(table(spark, folder, "sections"), "section_id", "content")
+    held = parts.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "size", "text"))).alias("p"))
+    before = lambda i: F.try_element_at("p", i)  # noqa: E731 - element i counts from 1, so it is the piece in front
+    end = lambda x: x["start"] + x["size"]
+    fresh = F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], end(before(i)) - x["start"] + 1, x["size"])))
+    laps = F.forall(
+        F.transform("p", lambda x, i: (i == 0) | (x["start"] == F.greatest(end(before(i)) - splitting.OVERLAP, F.lit(0)))), lambda ok: ok
+    )
+    return held.select(
+        "section_id",
+        F.md5(F.array_join(fresh, "")).alias("content_md5"),
+        F.forall("p", lambda x: (x["size"] <= splitting.LIMIT) & (x["size"] == F.length(x["text"]))).alias("fits"),
+        laps.alias("laps"),
+    )
+
+
 def _name_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return name_variants.clusters(*(table(spark, folder, t) for t in ("author_names", "papers", "bib")))
 
@@ -81,6 +99,17 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(table(spark, folder, "documents"))
 
 
+def p7_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each text lies in as few pieces as it can, in containers that are not overfull."""
+    placed = materialise(packing.containers(table(spark, folder, "documents")), "p7-placed")
+    load = placed.groupBy("container").agg(F.sum("tokens").alias("used"))
+    docs = placed.join(load, "container").groupBy("doc_id").agg(
+        F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("used").alias("used")
+    )
+    least = F.greatest(F.ceil(F.col("tokens") / packing.CAPACITY), F.lit(1))
+    return docs.select("doc_id", (F.col("pieces") == least).alias("whole"), (F.col("used") <= packing.CAPACITY).alias("fits"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     hits = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return hits.select("doc_id", "item_id")
@@ -103,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p2_records,
         p3_found,
         p3_pieces,
+        p3_rejoined,
         p4_found,
         p4_clusters,
         p5_found,
@@ -112,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p6_pairs,
         p7_containers,
         p7_fill,
+        p7_placed,
         p8_found,
         p9_found,
         p9_redacted,

