@@ -47,7 +47,8 @@ def rewrite(sections: DataFrame, keys: DataFrame, row_id: str | Sequence[str], e
     mapped = hot_first_join(uses, known, "key", "_n", uses.count(), "left").select(
         "_row", "_at", "_old", "_k", F.coalesce("new", "key").alias("_new")
     )
-    parts = mapped.groupBy("_row", "_at", "_old").agg(F.array_sort(F.collect_list(F.struct("_k", "_new"))).alias("_keys"))
+    # Keys go back to their commands and commands to their texts: one shuffle by row serves both.
+    parts = mapped.repartition("_row").groupBy("_row", "_at", "_old").agg(F.array_sort(F.collect_list(F.struct("_k", "_new"))).alias("_keys"))
     command = F.substring_index("_old", "{", 1)
     text = F.concat(
         command, F.lit("{"), F.array_join(F.transform("_keys", lambda k: k["_new"]), ", "), F.lit("}")

@@ -136,29 +136,23 @@ def verify(
     info), the answers to the entries' searches, or ``records`` (hit_id, info), a table to search. Entries that arXiv answers are not
     searched. Of several answers for one id the first by text counts. Adds ``verified`` (boolean).
     """
-    none = F.lit(None).cast("map<string,string>")
-    out = entries
+    none = entries.select("key", F.lit(None).cast("map<string,string>").alias("_v"), F.lit("").alias("_source")).filter("false")
+    found, open_ = none, entries
     if arxiv is not None:
         one = arxiv.groupBy("arxiv_id").agg(F.min("bibtex").alias("bibtex"))
-        answers = parse_bibtex(one, "bibtex").select("arxiv_id", F.col("entry.fields").alias("_arxiv"))
-        out = out.join(answers.filter("_arxiv IS NOT NULL"), "arxiv_id", "left")
-    else:
-        out = out.withColumn("_arxiv", none)
+        answers = parse_bibtex(one, "bibtex").select("arxiv_id", F.col("entry.fields").alias("_v")).filter("_v IS NOT NULL")
+        answers = materialise(answers, "answers")
+        found = entries.select("key", "arxiv_id").join(answers, "arxiv_id").select("key", "_v", F.lit("arXiv").alias("_source"))
+        open_ = entries.join(answers.select("arxiv_id"), "arxiv_id", "left_anti")
     if hits is not None or records is not None:
-        if arxiv is not None:
-            out = materialise(out, "answered")
-        open_ = out.filter("_arxiv IS NULL")
         best = best_matches(open_, hits, on) if hits is not None else search_matches(open_, records)
-        out = out.join(best.select("key", dblp_fields(F.col("info")).alias("_dblp")), "key", "left")
-    else:
-        out = out.withColumn("_dblp", none)
-    source = F.when(F.col("_arxiv").isNotNull(), "arXiv").otherwise("DBLP")
-    chosen = F.coalesce("_arxiv", "_dblp")
-    return (
-        out.withColumn("verified", chosen.isNotNull())
-        .withColumn("fields", merged(F.col("fields"), chosen, source))
-        .select(*entries.columns, "verified")
-    )
+        found = found.unionByName(best.select("key", dblp_fields(F.col("info")).alias("_v"), F.lit("DBLP").alias("_source")))
+    # An entry has one answer at most, so its whole row moves once.
+    return entries.join(found, "key", "left").select(
+        *[F.col(c) for c in entries.columns if c != "fields"],
+        merged(F.col("fields"), F.col("_v"), F.col("_source")).alias("fields"),
+        F.col("_v").isNotNull().alias("verified"),
+    ).select(*entries.columns, "verified")
 
 
 def stats(verified: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.functions import text
+from citeloom.functions import bbl, text
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 
@@ -55,17 +55,18 @@ def keys_of(x: str) -> str:
 
 _LAST = "SELECT * FROM bib QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord DESC, file_ord DESC, pos DESC, entry_id DESC) = 1"
 
+_QUOTED = bbl.QUOTED.replace("'", "''")
 # One item: the title by its three rules, the author by its two.
 _ITEM_TITLE = rf"""CASE
-  WHEN regexp_extract(raw, '\\showarticletitle\{{([^}}]+)\}}', 1) <> '' THEN regexp_extract(raw, '\\showarticletitle\{{([^}}]+)\}}', 1)
+  WHEN regexp_extract(raw, '{bbl.ARTICLE_TITLE}', 1) <> '' THEN regexp_extract(raw, '{bbl.ARTICLE_TITLE}', 1)
   WHEN contains(raw, '\newblock') THEN list_filter(list_transform(string_split(raw, '\newblock'), lambda b: {trim('b')}), lambda b: b <> '')[2]
-  ELSE nullif(regexp_extract(raw, '(?:``|"|'')([^`"'']+)(?:''''|"|'')', 1), '') END"""
-_PERSONS = r"array_to_string(regexp_extract_all(regexp_extract(raw, '\\bibfield\{author\}\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)', 1), '\\bibinfo\{person\}\{([^}]+)\}', 1), ', ')"
+  ELSE nullif(regexp_extract(raw, '{_QUOTED}', 1), '') END"""
+_PERSONS = r"array_to_string(regexp_extract_all(regexp_extract(raw, '\\bibfield\{author\}\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)', 1), 'PERSON', 1), ', ')".replace("PERSON", bbl.PERSON)
 _LINE = trim("string_split(raw, chr(10))[2]")
 _ITEM_AUTHOR = f"""CASE WHEN contains(raw, '\\bibfield{{author}}') THEN {nonempty(_PERSONS)}
   ELSE {trim(f"CASE WHEN contains({_LINE}, 'et al.') THEN split_part({_LINE}, 'et al.', 1) ELSE split_part({_LINE}, 'et~al.', 1) END")} END"""
 _ONE_LINE = rf"regexp_replace({RAW}, '\\bibitem(\[[^\]]*\])?%\s*\n\s*', '\\bibitem\1')"
-_ITEM = r"^\\bibitem(?:\[[^\]]*\])?\{([^}]+)\}"
+_ITEM = "^" + bbl.ITEM_HEAD
 
 _ITEMS = f"""
 SELECT * FROM (SELECT entry_id, {trim(_ONE_LINE)} AS raw FROM bib WHERE {RAW} IS NOT NULL)
@@ -248,7 +249,7 @@ found AS (
   WHERE regexp_matches(lower(title), '{_PHRASES}')),
 items AS (
   SELECT entry_id, regexp_extract(raw, '{_ITEM}', 1) AS key, {_ITEM_AUTHOR} AS author,
-    nullif(regexp_extract(raw, '\b(19\d{{2}}|20\d{{2}})\b', 1), '') AS year, {clean_title(_ITEM_TITLE)} AS title
+    nullif(regexp_extract(raw, '{bbl.YEAR}', 1), '') AS year, {clean_title(_ITEM_TITLE)} AS title
   FROM ({_ITEMS})),
 last AS (
   SELECT i.* FROM items i JOIN bib b USING (entry_id) WHERE b.ord IN (SELECT ord FROM docs)
@@ -273,12 +274,12 @@ SQL: dict[str, str] = {
     "arxiv_id_extract": f"SELECT * FROM (SELECT entry_id, {_ARXIV} AS arxiv_id FROM bib) WHERE arxiv_id IS NOT NULL",
     "parse_bbl_entries": f"""
 SELECT entry_id, regexp_extract(raw, '{_ITEM}', 1) AS key, {_ITEM_AUTHOR} AS author,
-       nullif(regexp_extract(raw, '\\b(19\\d{{2}}|20\\d{{2}})\\b', 1), '') AS year, {clean_title(_ITEM_TITLE)} AS title
+       nullif(regexp_extract(raw, '{bbl.YEAR}', 1), '') AS year, {clean_title(_ITEM_TITLE)} AS title
 FROM ({_ITEMS})
 """,
     "parse_bbl_files": f"""
 SELECT ord, file_ord, (row_number() OVER (PARTITION BY ord, file_ord ORDER BY b.pos, b.entry_id) - 1)::INTEGER AS pos,
-       regexp_extract(i.raw, '{_ITEM}', 1) AS key, nullif(regexp_extract(i.raw, '\\b(19\\d{{2}}|20\\d{{2}})\\b', 1), '') AS year
+       regexp_extract(i.raw, '{_ITEM}', 1) AS key, nullif(regexp_extract(i.raw, '{bbl.YEAR}', 1), '') AS year
 FROM bib b JOIN ({_ITEMS}) i USING (entry_id)
 """,
     "bib_consolidate": f"SELECT key, entry_id, ord, entry_type, {TITLE} AS title FROM ({_LAST})",

@@ -14,6 +14,7 @@ from citeloom.functions.text import dblp_query
 from citeloom.operators import bibliography, citations, rendering, sections, verification
 from citeloom.session import materialise
 from citeloom.sources import archive, dblp, fetch, latex_source
+from citeloom.sources.bibtex import parse_bibtex
 
 
 @dataclass
@@ -111,7 +112,8 @@ def verified(entries: DataFrame, sources: Sources, options: Options) -> DataFram
     arxiv = sources.bibtex_of(asked.select("arxiv_id").filter("arxiv_id IS NOT NULL").distinct(), options)
     searched = asked.filter("query <> ''")
     if arxiv is not None:
-        searched = searched.join(arxiv.filter("bibtex IS NOT NULL").select("arxiv_id"), "arxiv_id", "left_anti")
+        readable = parse_bibtex(arxiv.select("arxiv_id", "bibtex"), "bibtex").filter("entry IS NOT NULL").select("arxiv_id")
+        searched = searched.join(readable, "arxiv_id", "left_anti")
     hits = sources.hits_of(searched.select("query").distinct(), options)
     checked = verification.verify(asked, arxiv, hits, sources.records if hits is None else None, "query")
     return checked.select("key.ord", "file_ord", "pos", "key.key", "entry_type", "fields", "verified")

@@ -239,8 +239,8 @@ def shared_bbl(author, title):
     return "\\begin{thebibliography}{9}\n\\bibitem{b1}\n" + author + ".\n\\newblock " + title + ".\n\\newblock 2016.\n\\end{thebibliography}"
 
 
-WORKS = {
-    "p1": ("Ann Lee, Bo Ek", "Streams of Many Rivers"),
+WORKS = {  # an answer of arXiv that cannot be read leaves the entry to the search
+    "p1": ("Ann Lee, Bo Ek. arXiv:1606.00009", "Streams of Many Rivers"),
     "p2": ("Cy Dor, Di Fenn", "Lattices in Deep Water"),
     "p3": ("Ann Lee, Bo Ek", "Streams of Many Rivers"),
 }
@@ -252,6 +252,8 @@ def web(url):
     if "/e-print/" in url:
         author, title = WORKS[name]
         return tar({"main.tex": SHARED.replace("\\input{figure.png}", "").encode(), "rel.txt": b"As \\citet{b1} say.", "m.bbl": shared_bbl(author, title).encode()})
+    if "/bibtex/1606" in url:
+        return b"@misc{x, title = {never ends, author"
     if "/bibtex/" in url:
         return f"@misc{{x, title={{Paper {name}}}, author={{A B}}}}".encode()
     title = url.split("q=")[1].split("&")[0].replace("+", " ")
@@ -268,7 +270,7 @@ def test_verification_end_to_end(spark, tmp_path):
     assert out["bibtex"].count("verified_source = {DBLP}") == 3
     # The same from tables: answers by search, then records to search in.
     archives = spark.createDataFrame([(p, bytearray(web(f"x/e-print/{p}"))) for p in WORKS], "paper_id string, content binary")
-    arxiv = spark.createDataFrame([(p, web(f"x/bibtex/{p}").decode()) for p in WORKS], "arxiv_id string, bibtex string")
+    arxiv = spark.createDataFrame([(p, web(f"x/bibtex/{p}").decode()) for p in (*WORKS, "1606.00009")], "arxiv_id string, bibtex string")
     queries = sorted({t.replace(" ", "+") for _, t in WORKS.values()})
     answers = spark.createDataFrame([(q, web(f"x?q={q}&").decode()) for q in queries], "query string, json string")
     options = Options(scope="paper")
