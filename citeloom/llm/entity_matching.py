@@ -127,8 +127,8 @@ def _number(texts: list[str]) -> np.ndarray:
 def entries(bib: DataFrame) -> DataFrame:
     """entry_id, tid, title, first, authors, year of each row, from its fields or else its ``raw`` item.
 
-    ``tid`` numbers the title. Rows without a title in either place are left out; ``raw`` is read only where a field
-    is missing.
+    ``tid`` numbers the title. A row whose ``raw`` has another title than its field comes with both, as either may be misprinted. Rows
+    without a title in either place are left out; ``raw`` is read only where a field is missing or its title is not found in it.
     """
     f = F.col("fields")
     lacking = ~(
@@ -136,8 +136,9 @@ def entries(bib: DataFrame) -> DataFrame:
         & F.coalesce(f["author"].rlike(r"\p{L}"), F.lit(False))
         & F.coalesce(f["year"].rlike(r"\d"), F.lit(False))
     )
+    other = ~F.coalesce(F.lower(f["raw"]).contains(F.lower(f["title"])), F.lit(False))
     needed = bib.select(
-        "entry_id", f["title"].alias("t"), f["author"].alias("a"), f["year"].alias("y"), F.when(lacking, f["raw"]).alias("raw")
+        "entry_id", f["title"].alias("t"), f["author"].alias("a"), f["year"].alias("y"), F.when(lacking | other, f["raw"]).alias("raw")
     )
     kind = bib.schema["entry_id"].dataType.simpleString()
 
@@ -145,8 +146,8 @@ def entries(bib: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for entry, t, a, y, raw in zip(pdf["entry_id"], pdf["t"], pdf["a"], pdf["y"], pdf["raw"]):
-                title = title_key(t) or (title_key(raw_title(raw)) if raw else "")
-                if not title or entry != entry:
+                titles = dict.fromkeys(k for k in (title_key(t), title_key(raw_title(raw)) if raw else "") if k)
+                if not titles or entry != entry:
                     continue
                 who = words(a)
                 if not who and raw:
@@ -154,7 +155,7 @@ def entries(bib: DataFrame) -> DataFrame:
                     who = words(a)
                 m = _FOUR_DIGITS.search(_MARKUP.sub("", y)) if y else None
                 m = m or (_YEAR.search(raw) if raw else None)
-                rows.append((entry, title, first_family(a), who or None, float(m[0]) if m else None))
+                rows += [(entry, title, first_family(a), who or None, float(m[0]) if m else None) for title in titles]
             out = pd.DataFrame(rows, columns=["entry_id", "title", "first", "authors", "year"])
             out.insert(1, "tid", _number(out["title"].tolist()))
             yield out.astype({"year": "Int32"})

@@ -489,6 +489,16 @@ def test_title_features_and_fit():
     assert 0 < np.abs(few - prior).max() < 1
 
 
+def test_either_title_of_an_entry_may_be_misprinted(spark):
+    rows, hits, truth = corpus()
+    n, work = len(rows), rows[0]
+    sound = "\\bibitem{x}\n" + work[3]["author"].replace(" and ", ", ") + ".\n\\newblock " + work[3]["title"] + ".\n\\newblock X, " + work[3]["year"] + "."
+    rows += [(n, "x", "article", {**work[3], "title": "Zq wvk xxj", "raw": sound}), (n + 1, "x", "article", {**work[3], "raw": sound.replace(work[3]["title"], "Zq wvk")})]
+    got = entity_matching.matches(bib(spark, rows), spark.createDataFrame([(i, h, "c", "c") for i, h in hits], DBLP))
+    found = [(r["entry_id"], r["hit_id"]) for r in got.filter(F.col("entry_id") >= n).collect()]
+    assert sorted(found) == [(n, 0), (n + 1, 0)]
+
+
 def test_any_number_of_labels_trains():
     import pandas as pd
 
