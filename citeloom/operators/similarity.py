@@ -54,7 +54,8 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataF
         raise ValueError("0.5 <= least <= 1 is required")
 
     def keyed(side: DataFrame, name: str) -> DataFrame:
-        sets = side.select(F.col("words").alias(name)).filter(F.size(name) > 0).distinct()
+        spread = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes a set become dozens of blocks
+        sets = side.select(F.col("words").alias(name)).filter(F.size(name) > 0).distinct().repartition(spread, name)
         signed = sets.withColumn(f"s{name}", signature(name))
         return materialise(signed.select(name, f"s{name}", F.explode(blocks(name, least)).alias("block")), "word-blocks")
 
