@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,14 @@ EDITION = re.compile(
     r"\s*\b(?:extended abstract|preprint|technical report|tech report|full version|extended version|short paper"
     r"|arxiv(?: preprint)?(?: arxiv)?(?: ?\d{4} \d{4,5})?(?: ?v\d+)?|(?:19|20)\d\d)$"
 )
+#: Last words of what ``EDITION`` matches; its other matches end in a digit.
+EDITION_ENDS = frozenset(("abstract", "preprint", "report", "version", "paper", "arxiv"))
 STOP_WORDS = ("a", "an", "and", "by", "for", "from", "in", "of", "on", "over", "the", "to", "under", "via", "with")
 _MARKUP = re.compile(r"\\[`'\"^~=.]|\\[A-Za-z]+\s*|[{}]")
-_NOT_WORD = re.compile(r"[^\w]+|_+")
+_WORD = re.compile(r"[^\W_]+")
+_ASCII_WORDS = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+_AND = re.compile(r"\s+and\s+", re.I)
 _UNBRACED = re.compile(r"\{([^{}\\]{1,3})\}")
 _FOUR_DIGITS = re.compile(r"\d{4}")
 _ARTICLE_TITLE, _QUOTED, _PERSON, _YEAR = (re.compile(x) for x in (bbl.ARTICLE_TITLE, bbl.QUOTED, bbl.PERSON, bbl.YEAR))
@@ -54,27 +60,37 @@ def fold(text: str) -> str:
     """Without accents; ASCII text is returned as it is."""
     if text.isascii():
         return text
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+    return _NOT_ASCII.sub(lambda m: "" if unicodedata.combining(m[0]) else m[0], unicodedata.normalize("NFKD", text))
+
+
+def _unmarked(text: str) -> str:
+    """Without markup; most texts have none and are returned as they are."""
+    return _MARKUP.sub("", text) if "\\" in text or "{" in text or "}" in text else text
 
 
 def words(text: str | None) -> str:
     """Lower-case words without accents or markup, one space between."""
-    return _NOT_WORD.sub(" ", _MARKUP.sub("", fold(text)).lower()).strip() if text else ""
+    if not text:
+        return ""
+    plain = _unmarked(fold(text))
+    return " ".join(plain.translate(_ASCII_WORDS).split() if plain.isascii() else _WORD.findall(plain.lower()))
 
 
 def title_key(text: str | None) -> str:
     """Words of a title, spelling of -ise and -ize made one, edition marks at the end taken off."""
     key = words(text).replace("z", "s")
-    while (shorter := EDITION.sub("", key).strip()) != key:
+    while key[-1:].isdecimal() or key.rpartition(" ")[2] in EDITION_ENDS:
+        if (shorter := EDITION.sub("", key).strip()) == key:
+            break
         key = shorter
     return key
 
 
 def family(name: str) -> str:
     """Family name of one printed name (accents gone), by the position and case of its words; ``""`` if none."""
-    plain = fold(_MARKUP.sub("", name)).replace("~", " ")
+    plain = fold(_unmarked(name)).replace("~", " ")
     comma = "," in plain
-    w = [x for x in plain.replace(",", " ").split() if not x.isdigit() and any(ch.isalpha() for ch in x)]
+    w = [x for x in plain.replace(",", " ").split() if x[0].isalpha() or any(ch.isalpha() for ch in x)]
     if not w:
         return ""
     caps = [x for x in w if _CAPS.fullmatch(x)]
@@ -86,14 +102,15 @@ def family(name: str) -> str:
         out = w[0]
     else:
         out = w[-1]
-    return "".join(ch for ch in out.lower() if ch.isalpha())
+    out = out.lower()
+    return out if out.isalpha() else "".join(ch for ch in out if ch.isalpha())
 
 
 def first_family(authors: str | None) -> str | None:
     """Family name of the first author of a printed list; None for a missing list."""
     if not authors:
         return None
-    head = re.split(r"\s+and\s+", authors.strip("{ \n"), maxsplit=1, flags=re.I)[0]
+    head = _AND.split(authors.strip("{ \n"), maxsplit=1)[0]
     # Before the first comma stands either the whole first name or, as one word, the family name of it.
     return family(head.split(",", 1)[0]) or None
 
@@ -153,7 +170,7 @@ def entries(bib: DataFrame) -> DataFrame:
                 if not who and raw:
                     a = raw_authors(raw)
                     who = words(a)
-                m = _FOUR_DIGITS.search(_MARKUP.sub("", y)) if y else None
+                m = _FOUR_DIGITS.search(_unmarked(y)) if y else None
                 m = m or (_YEAR.search(raw) if raw else None)
                 rows += [(entry, title, first_family(a), who or None, float(m[0]) if m else None) for title in titles]
             out = pd.DataFrame(rows, columns=["entry_id", "title", "first", "authors", "year"])
@@ -211,12 +228,15 @@ def minhash(texts: list[str], n: int) -> np.ndarray:
         x = (x ^ (x >> np.uint32(shift))) * np.uint32(mul)
     x ^= x >> np.uint32(16)
     starts = np.concatenate(([0], np.cumsum(sizes - 2)[:-1]))
-    out = np.empty((len(texts), n), np.uint32)
+    out = np.empty((n, len(texts)), np.uint32)
+    y, shifted = np.empty_like(x), np.empty_like(x)
     for k, (a, b) in enumerate(zip(*_hashes(n))):
-        y = x * a + b
-        y ^= y >> np.uint32(15)
-        out[:, k] = np.minimum.reduceat(y, starts)
-    return out
+        np.multiply(x, a, out=y)
+        y += b
+        np.right_shift(y, np.uint32(15), out=shifted)
+        y ^= shifted
+        np.minimum.reduceat(y, starts, out=out[k])
+    return out.T
 
 
 def _fold_rows(values: np.ndarray, seed: int) -> np.ndarray:
@@ -276,7 +296,7 @@ def _trigrams(text: str) -> set[str]:
 def _alike(a: str, b: str) -> bool:
     if a == b:
         return True
-    if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2:
+    if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2 or len(set(a) ^ set(b)) > 4:  # an edit changes two letters at most
         return False
     return _one_edit(a, b) or (min(len(a), len(b)) >= 6 and _two_edits(a, b))
 
@@ -291,6 +311,7 @@ def _two_edits(a: str, b: str) -> bool:
     return swapped or _one_edit(a[1:], b[1:]) or _one_edit(a[1:], b) or _one_edit(a, b[1:])
 
 
+@lru_cache(1 << 16)
 def _marks_sequel(word: str) -> bool:
     return word in SEQUEL_WORDS or (len(word) >= 6 and any(len(s) >= 6 and _one_edit(word, s) for s in SEQUEL_WORDS))
 
@@ -342,12 +363,13 @@ def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def features(pairs: DataFrame) -> DataFrame:
-    """Adds the classifier's columns to rows with authors, families and both years."""
+    """Adds the classifier's columns to rows with authors (words with one space between), families and both years."""
     known = F.col("authors").isNotNull() & (F.col("authors") != "") & (F.size(F.coalesce("families", F.array())) > 0)
-    listed = F.split(F.regexp_replace("authors", r"(?<=\p{L})['\-](?=\p{L})", ""), " ")
-    joined = F.regexp_replace("authors", " ", "")
+    # The condition runs for each family of each pair, so it only searches text.
+    listed = F.concat(F.lit(" "), "authors", F.lit(" "))
+    joined = F.replace("authors", F.lit(" "), F.lit(""))
     shared = F.size(
-        F.filter("families", lambda x: F.array_contains(listed, x) | ((F.length(x) >= 6) & joined.contains(x)))
+        F.filter("families", lambda x: listed.contains(F.concat(F.lit(" "), x, F.lit(" "))) | ((F.length(x) >= 6) & joined.contains(x)))
     ) / F.size("families")
     gap = F.abs(F.col("year") - F.col("r_year"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -450,7 +472,9 @@ def matches(bib: DataFrame, dblp: DataFrame) -> DataFrame:
     order = F.xxhash64("entry_id", F.lit(11))
     share = min(1.0, 3 * LABELLED_ROWS / max(1, rows))
     drawn = left if share == 1.0 else left.filter(order <= int((2 * share - 1) * (1 << 62)) * 2)
-    labelled = scored(drawn).withColumn("label", weak_label()).filter("label IS NOT NULL")
+    # Written before it is filtered: a filter would compute the columns of each of its conditions anew, for either label.
+    labelled = scored(drawn).select("entry_id", "hit_id", *FEATURES, weak_label().alias("label"))
+    labelled = materialise(labelled, "p1-labelled")
     picked = None
     for label in (0, 1):
         part = labelled.filter(F.col("label") == label).orderBy(order, "hit_id").limit(LABELLED_ROWS // 2)

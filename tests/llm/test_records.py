@@ -446,6 +446,41 @@ def test_entity_matching(spark):
     assert entity_matching.matches(bib(spark, []), empty).count() == 0
 
 
+def test_shared_authors_are_found_by_plain_search(spark):
+    rows = [
+        ("ann o brien and bo li", ["obrien", "li", "nobody"], 2 / 3),  # joined words count from six letters
+        ("ann lihua and bo xu", ["li", "li"], 0.0),
+        ("li", ["li", "li", "xu"], 2 / 3),
+        (None, ["li"], 0.0),
+        ("li", [], 0.0),
+    ]
+    pairs = [(i, a, f, 1, 1, 0, 2000, 2000) for i, (a, f, _) in enumerate(rows)]
+    kinds = "i int, authors string, families array<string>, only_a int, only_b int, sequel int, year int, r_year int"
+    got = entity_matching.features(spark.createDataFrame(pairs, kinds))
+    assert [x["shared"] for x in got.orderBy("i").collect()] == [s for *_, s in rows]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "split(" not in plan  # they ran for each family of each pair
+
+
+def test_words_have_one_space_between():
+    for text in ("a _b", "Ä_ - {B}", " a\u00a0_\t_b_", "\\emph{A}-_-b"):
+        assert entity_matching.words(text) == "a b"
+    marks = ("extended abstract", "Preprint", "tech report", "arXiv", "arxiv 2101.00001v2", "short paper, 2019", "full version")
+    assert {entity_matching.title_key(f"Deep Realization, {m}") for m in marks} == {"deep realisation"}
+    assert entity_matching.title_key("A report of 1200") == "a report of 1200"
+
+
+def test_far_words_are_told_apart_by_their_letters():
+    r = random.Random(8)
+    for _ in range(3000):
+        a = b = "".join(r.choice("abcdefgh") for _ in range(r.randint(6, 9)))
+        for _ in range(2):
+            i = r.randrange(len(b))
+            b = r.choice((b[:i] + "z" + b[i:], b[:i] + b[i + 1 :], b[:i] + "y" + b[i + 1 :]))
+        if min(len(a), len(b)) >= 6 and entity_matching._two_edits(a, b):
+            assert entity_matching._alike(a, b)
+
+
 def test_minhash_estimates_similarity():
     a, b = "a survey of lattice based parsing methods", "a survey of lattice based parsing method"
     sig = entity_matching.minhash([a, b, "zz"], 400)

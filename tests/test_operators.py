@@ -366,6 +366,22 @@ def test_large_blocks_are_cut_into_tiles(spark, monkeypatch):
     assert len(got) == len(set(got)) == 95 * 42 + 1
 
 
+def test_small_keys_are_not_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SIDE", 20)
+    written = []
+    write = skew.materialise
+    monkeypatch.setattr(skew, "materialise", lambda df, name: written.append((name, t := write(df, name))) or t)
+    small = [(f"k{i % 300}", i) for i in range(600)] + [(None, i) for i in range(50)]  # NULL joins nothing and fills no bucket
+    large = [("h", i) for i in range(45)]
+    b = spark.createDataFrame([(f"k{i}", -i) for i in range(200)] + [("h", 1), ("h", 2), (None, 3)], "k string, y int")
+    got = [tuple(x) for x in skew.split_join(spark.createDataFrame(small, "k string, x int"), b, "k").collect()]
+    assert sorted(got) == sorted((k, x, -int(k[1:])) for k, x in small if k and int(k[1:]) < 200)
+    assert [name for name, _ in written] == ["buckets"]
+    got = [tuple(x) for x in skew.split_join(spark.createDataFrame(small + large, "k string, x int"), b, "k").collect()]
+    assert len(got) == len(set(got)) == 400 + 2 * 45
+    assert [x["k"] for x in written[-1][1].collect()] == ["h"]
+
+
 def test_hot_rows_too_large_to_broadcast_are_spread(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
     monkeypatch.setattr(skew, "HOT_BYTES", 10)
